@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import bpe, token_counts
+from seekwell.llm import bpe, sharding, token_counts, topk
 from seekwell.session import table
 
 
@@ -27,4 +27,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_token_counts": op3_token_counts}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_token_counts": op3_token_counts,
+    "op9_sharding": op9_sharding,
+    "op10_topk": op10_topk,
+}
