@@ -13,6 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches
 #: How byte-level vocabularies split a text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks, and pair verdicts, that each Python worker keeps. Beyond this the memory is emptied and filled again.
-CHUNKS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+CHUNKS_KEPT, PAIRS_KEPT = 1_000_000, 1_000_000
 #: Longer chunks are encoded each time.
 LONGEST_KEPT = 64
 NONE = np.int64(1) << 40  # a rank after all others
@@ -72,10 +73,13 @@ class Vocabulary:
         pairs = sorted((a * self.size + b, rank) for (a, b), (rank, _) in self.merges.items())
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs], np.int64)
-        self.longest: list[int] = [1] * 256  # the longest token that begins with a byte
+        self.made = {a * self.size + b: made for (a, b), (_, made) in self.merges.items()}
+        self.ranks = {a * self.size + b: rank for (a, b), (rank, _) in self.merges.items()}
+        self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
+        self.longest: dict[bytes, int] = {}  # the longest token that begins with three bytes
         for b in self.id_of:
-            self.longest[b[0]] = max(self.longest[b[0]], len(b))
-        self.packed = [int(i).to_bytes(4, "little") for i in range(self.size)]
+            if len(b) > 2:
+                self.longest[b[:3]] = max(self.longest.get(b[:3], 0), len(b))
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(PATTERN)
         self.known: dict[int, bool] = {}  # verdicts on pairs, by left * size + right
@@ -83,13 +87,13 @@ class Vocabulary:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest matches from the left."""
-        found, i, n, id_of = [], 0, len(word), self.id_of
+        found, i, n, id_of, longest = [], 0, len(word), self.id_of.get, self.longest.get
         while i < n:
-            j = min(n, i + self.longest[word[i]])
-            while (token := id_of.get(word[i:j])) is None:
+            j = i + longest(word[i : i + 3], 2)
+            while (token := id_of(word[i:j])) is None:
                 j -= 1
             found.append(token)
-            i = j
+            i = min(j, n)
         return found
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +123,24 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one word: lowest rank first, equal ranks from the left."""
-        tokens = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        tokens = [self.byte_ids[b] for b in word]
+        return self._merge_short(tokens) if len(tokens) <= LONGEST_KEPT else self._merge_long(tokens)
+
+    def _merge_short(self, tokens: list[int]) -> list[int]:
+        size, rank_of, made, last = self.size, self.ranks.get, self.made, int(NONE)
+        ranks = [rank_of(a * size + b, last) for a, b in zip(tokens, tokens[1:])]
+        while ranks and (least := min(ranks)) < last:
+            i = ranks.index(least)
+            tokens[i : i + 2] = [joined := made[tokens[i] * size + tokens[i + 1]]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(tokens[i - 1] * size + joined, last)
+            if i < len(ranks):
+                ranks[i] = rank_of(joined * size + tokens[i + 1], last)
+        return tokens
+
+    def _merge_long(self, tokens: list[int]) -> list[int]:
+        """The same with a queue of merges, for words where scanning each time would be quadratic."""
         n = len(tokens)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges = self.merges
@@ -144,7 +165,7 @@ class Vocabulary:
         """Token ids of each word, and how many words needed exact merging."""
         proposed = [self.propose(w) for w in words]
         counts = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(words)), counts)
         inside = owner[1:] == owner[:-1]
         keys = (flat[:-1] * self.size + flat[1:])[inside]
@@ -176,15 +197,16 @@ class Vocabulary:
         if len(chunks) > CHUNKS_KEPT:
             chunks.clear()
         new = [c for c in set().union(*per_text).difference(chunks) if isinstance(c, str)]
-        words = [self.split.findall(c) for c in new]
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        words = list(map(self.split.findall, new))
+        distinct = list(set(chain.from_iterable(words)))
         encoded, _ = self.encode_words([w.encode() for w in distinct])
-        packed = self.packed
-        as_bytes = [b"".join([packed[t] for t in e]) for e in encoded]
+        buffer = np.fromiter(chain.from_iterable(encoded), "<u4").tobytes()
+        ends = list(accumulate(4 * len(e) for e in encoded))
+        as_bytes = {w: buffer[i:j] for w, i, j in zip(distinct, chain((0,), ends), ends)}
         for chunk, ws in zip(new, words):
-            chunks[chunk] = b"".join([as_bytes[distinct[w]] for w in ws])
+            chunks[chunk] = as_bytes[ws[0]] if len(ws) == 1 else b"".join(map(as_bytes.__getitem__, ws))
         for i in self.special.values():
-            chunks[i] = packed[i]
+            chunks[i] = i.to_bytes(4, "little")
         out = [b"".join(map(chunks.__getitem__, own)) for own in per_text]
         for chunk in new:
             if len(chunk) > LONGEST_KEPT:
