@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import bpe, minhash, pii, quality, secrets, sharding, token_counts, topk
+from seekwell.llm import bpe, langid, minhash, pii, quality, secrets, sharding, token_counts, topk
 from seekwell.session import table
 
 
@@ -43,6 +43,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
     "op7_minhash": op7_minhash,
+    "op8_langid": op8_langid,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
