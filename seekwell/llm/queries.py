@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import bpe, langid, minhash, pii, quality, secrets, sharding, token_counts, topk
+from seekwell.llm import bpe, langid, minhash, packing, pii, quality, secrets, sharding, token_counts, topk
 from seekwell.session import table
 
 
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -57,6 +61,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
