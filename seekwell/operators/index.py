@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seekwell.functions import html as H
 from seekwell.functions import text as X
 from seekwell.functions import url as U
+from seekwell.functions.barrier import once
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def anchors(pages: DataFrame) -> DataFrame:
         F.coalesce(H.base_url(F.col("html")), F.col("url")).alias("base"),
         F.posexplode(H.anchors(F.col("html"))).alias("idx", "a"),
     )
-    return rows.select("from_id", "idx", "a.href", "a.text", U.normalize(U.resolve(F.col("base"), F.col("a.href"))).alias("url"))
+    flat = once(rows.select("from_id", "idx", "a.href", "a.text", "base"), "target", U.resolve(F.col("base"), F.col("href")))
+    return flat.select("from_id", "idx", "href", "text", U.normalize(F.col("target")).alias("url"))
 
 
 def anchor_lines(links: DataFrame, urls: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seekwell.functions.text import query_tokens
 from seekwell.operators.ranking import top
@@ -36,7 +37,7 @@ def compat_distance(s: str, t: str) -> int:
     return row[0]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def ref_edit_distance(s: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else compat_distance(a, b) for a, b in zip(s, t)], dtype="Int32")
 

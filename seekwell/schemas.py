@@ -1,35 +1,28 @@
-"""Schemas of the engine's tables."""
+"""Schemas of the engine's tables, as DDL that readers and parsers take."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
-
-
-CRAWLED = _schema("url string, content string, content_type string, last_crawled_seconds bigint, last_modified_ms bigint")
-HEADER = _schema("content_length int, content_type string, last_modified bigint")
-HOST_STATE = _schema("host string, last_accessed_ms bigint, rules string, is_invalid boolean, num_success int, num_fail int")
-CRAWL_EDGES = _schema("from_url string, to_urls array<string>")
-DOCUMENT = _schema("doc_id int, url string, content string, content_type string, visited_date bigint")
-LINK = _schema("doc_id int, to_doc_ids array<int>")
-TAG_LINE = _schema("doc_id bigint, kind string, idx int, tag string, text string")
-WORD_HIT = _schema("doc_id bigint, word string, tag string, pos int, cap int, context string")
-DOC_WORD = _schema("doc_id bigint, w string, tf bigint, ntf double")
-LEXICON = _schema("word_id bigint, w string, df bigint, idf double")
-DOC_INFO = _schema("doc_id bigint, url string, title string, context string")
-RANK = _schema("id bigint, rank double")
-MATCH = _schema("doc_id bigint, url string, title string, context string, features map<string,double>")
-RESULT = _schema("url string, type string, title string, display_text string, total_score double, features map<string,double>")
-DOC_RANK = _schema("doc_id bigint, score double, last_update bigint")
-FEATURE = _schema("name string, coeff double, use_log boolean")
-POPULAR_KEYWORD = _schema("keyword string, count bigint")
-CONFIG = _schema("name string, value int")
-METRIC = _schema("name string, metrics string, value double, ts timestamp")
-USER = _schema("username string, password_hash string, is_admin boolean")
-CHANNEL = _schema("name string, username string, created_date string, pattern string, doc_urls array<string>")
+CRAWLED = "url string, content string, content_type string, last_crawled_seconds bigint, last_modified_ms bigint"
+HEADER = "content_length int, content_type string, last_modified bigint"
+HOST_STATE = "host string, last_accessed_ms bigint, rules string, is_invalid boolean, num_success int, num_fail int"
+CRAWL_EDGES = "from_url string, to_urls array<string>"
+DOCUMENT = "doc_id int, url string, content string, content_type string, visited_date bigint"
+LINK = "doc_id int, to_doc_ids array<int>"
+TAG_LINE = "doc_id bigint, kind string, idx int, tag string, text string"
+WORD_HIT = "doc_id bigint, word string, tag string, pos int, cap int, context string"
+DOC_WORD = "doc_id bigint, w string, tf bigint, ntf double"
+LEXICON = "word_id bigint, w string, df bigint, idf double"
+DOC_INFO = "doc_id bigint, url string, title string, context string"
+RANK = "id bigint, rank double"
+MATCH = "doc_id bigint, url string, title string, context string, features map<string,double>"
+RESULT = "url string, type string, title string, display_text string, total_score double, features map<string,double>"
+DOC_RANK = "doc_id bigint, score double, last_update bigint"
+FEATURE = "name string, coeff double, use_log boolean"
+POPULAR_KEYWORD = "keyword string, count bigint"
+CONFIG = "name string, value int"
+METRIC = "name string, metrics string, value double, ts timestamp"
+USER = "username string, password_hash string, is_admin boolean"
+CHANNEL = "name string, username string, created_date string, pattern string, doc_urls array<string>"
 #: What crawl workers send each other: links, progress and the end.
-MESSAGE = _schema("type string, url string, worker int, count bigint")
-EVENT = _schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+MESSAGE = "type string, url string, worker int, count bigint"
+EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

@@ -75,8 +75,7 @@ def paced(stream: DataFrame, host_col: str, delay_seconds: float) -> DataFrame:
             out.append((int(key[0]), int(event_id), gap, gap is None or gap > delay))
             last = int(us)
         state.update((last,))
-        frame = pd.DataFrame(out, columns=["host", "event_id", "gap_us", "ready"])
-        yield frame.astype({"gap_us": "Int64"})
+        yield pd.DataFrame(out, columns=["host", "event_id", "gap_us", "ready"]).astype({"gap_us": "Int64"})
 
     rows = stream.select(F.col(host_col).alias("host"), "event_id", F.unix_micros("ts").alias("us"))
     return rows.groupBy("host").applyInPandasWithState(
