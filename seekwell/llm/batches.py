@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once; a batch of long texts stays far below an executor's memory.
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 500
 #: UTF-8 bytes that a Python operator works on at once.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -40,3 +41,10 @@ def by_bytes(batches: Iterator[pa.RecordBatch], at_once: int = BYTES_AT_ONCE) ->
             held += len(text)
         if start < len(texts):
             yield ids.slice(start), texts[start:]
+
+
+def trim(kept: dict, most: int) -> None:
+    """Keep a worker's memory bounded: the older half of more than `most` entries goes."""
+    if len(kept) > most:
+        for key in list(islice(kept, len(kept) // 2)):
+            del kept[key]

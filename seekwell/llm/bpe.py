@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches
+from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches, trim
 
 #: How byte-level vocabularies split a text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks, and pair verdicts, that each Python worker keeps. Beyond this the memory is emptied and filled again.
+#: Chunks, and pair verdicts, that each Python worker keeps. Beyond this the older half goes.
 CHUNKS_KEPT, PAIRS_KEPT = 1_000_000, 1_000_000
 #: Longer chunks are encoded each time.
 LONGEST_KEPT = 64
@@ -173,11 +173,9 @@ class Vocabulary:
         known = self.known
         new = np.fromiter((k for k in distinct.tolist() if k not in known), np.int64)
         if len(new):
-            if len(known) > PAIRS_KEPT:
-                known.clear()
-                new = distinct
             known.update(zip(new.tolist(), self.compatible(new // self.size, new % self.size).tolist()))
         verdict = np.fromiter(map(known.__getitem__, distinct.tolist()), bool, len(distinct))
+        trim(known, PAIRS_KEPT)
         failing = np.unique(owner[1:][inside][~verdict[where]]) if len(distinct) else []
         for i in failing:
             proposed[i] = self.merge(words[i])
@@ -194,8 +192,7 @@ class Vocabulary:
             else:
                 own = independent_chunks(text)
             per_text.append(own)
-        if len(chunks) > CHUNKS_KEPT:
-            chunks.clear()
+        trim(chunks, CHUNKS_KEPT)
         new = [c for c in set().union(*per_text).difference(chunks) if isinstance(c, str)]
         words = list(map(self.split.findall, new))
         distinct = list(set(chain.from_iterable(words)))

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches
+from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches, trim
 
-#: Lengths of parts seen before, kept by each Python worker. Beyond this the memory is emptied and filled again.
+#: Lengths of parts seen before, kept by each Python worker. Beyond this the older half goes.
 PARTS_KEPT = 400_000
 #: Parts longer than this are encoded each time.
 LONGEST_KEPT = 64
@@ -50,8 +50,7 @@ def safe_parts(text: str) -> list[str]:
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model, kept = _library(path)
     for ids, texts in by_bytes(batches):
-        if len(kept) > PARTS_KEPT:
-            kept.clear()
+        trim(kept, PARTS_KEPT)
         parts = [safe_parts(text) for text in texts]
         new = list(set().union(*parts).difference(kept)) if parts else []
         fresh = dict(zip(new, map(len, model.encode(new, num_threads=1)))) if new else {}
