@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from seekwell.session import materialize
 
+#: A node's edges are dealt to this many tasks, so one with very many fills none.
+SALTS = 16
+
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the least of u and all its neighbours. A node's minimum is aggregated before it is joined
-    back, so a node with very many edges fills no task."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return edges.join(least, "u")
+    """Edges (u, v) with m, the least of u and all its neighbours v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,10 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
                 links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = state
-        both = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = _with_least(large)
-        own = small.select("u", F.col("m").alias("v"))
-        links = materialize(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
-        )
+        least = F.col("m").alias("v")
+        near = F.explode(F.array_distinct(F.array("u", "v"))).alias("u")
+        links = materialize(_with_least(large).select(near, least).where("u <> v").distinct())

@@ -7,8 +7,9 @@ out, and every such pair meets under some key. Pairs further apart mostly meet t
 a pair is missed with a probability of 3 in a million.
 
 Texts with the same set become one class first. In each bucket of the index, classes are compared with the bucket's
-hub, which joins most of what belongs together; then only pairs whose components still differ are compared. So every
-candidate pair is either compared or already linked, and a bucket of n near copies costs about n comparisons.
+least class, then those outside its largest component with a few members of that, which joins what belongs together;
+then all pairs whose components still differ are compared. So every candidate pair is either compared or already
+linked, and a bucket of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from seekwell.llm.shingles import U, mix, shingle_sets
 from seekwell.session import materialize
 
 CHUNKS, SLOTS, BITS, ERRORS = 12, 6, 10, 1
+#: Keys of a signature: one for each slot that may be wrong.
+KEYS = CHUNKS * SLOTS
+#: Members of a bucket's largest component that its other rows are compared with before all are.
+HUBS = 4
 #: Differing slots beyond which a pair isn't confirmed: 5.5 standard deviations above the mean at similarity 0.8.
 FARTHEST = 33
 _MULTIPLIERS = mix(np.arange(1, CHUNKS * SLOTS + 1, dtype=U)) | U(1)
@@ -71,14 +76,11 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def _index(classes: DataFrame) -> DataFrame:
-    """A row per class and key: chunk c with slot j blanked out."""
-    key = lambda c, j: F.struct(
-        F.xxhash64(F.lit(c * SLOTS + j), F.col("sig")[c].bitwiseAND(F.lit(((1 << 63) - 1) & ~(((1 << BITS) - 1) << (BITS * j))))).alias("key"),
-        F.lit(c).cast("byte").alias("c"),
-        F.lit(j).cast("byte").alias("j"),
-    )
-    keys = F.array(*[key(c, j) for c in range(CHUNKS) for j in range(SLOTS)])
-    return classes.select("id", F.explode(keys).alias("k")).select("id", "k.key", "k.c", "k.j")
+    """A row per class and key: a chunk with one slot blanked out, hashed. The key's remainder by KEYS is the number of
+    the blank."""
+    blanked = lambda c, j: F.col("sig")[c].bitwiseAND(F.lit(((1 << 63) - 1) & ~(((1 << BITS) - 1) << (BITS * j))))
+    hashed = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(i), blanked(*divmod(i, SLOTS))), 8) * KEYS + i
+    return classes.select("id", F.explode(F.array(*map(hashed, range(KEYS)))).alias("key"))
 
 
 def _alike(percent: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +99,45 @@ def _alike(percent: int, width: int, batches: Iterator[pa.RecordBatch]) -> Itera
         yield pa.record_batch([pa.array([us[i] for i in kept], pa.int64()), pa.array([vs[i] for i in kept], pa.int64())], names=["u", "v"])
 
 
+def _mark(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in by_bytes(batches):
+        bits = [bitmap(s) for s in shingle_sets(texts, width)]
+        ends = np.cumsum([0, *map(len, bits)]).astype(np.int32)
+        yield pa.record_batch([ids, pa.ListArray.from_arrays(ends, np.concatenate(bits))], names=["id", "bits"])
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A set as bits: each shingle sets one of 4 to 8 times as many bits as there are shingles, a power of two."""
+    size = 1 << max(6, int(4 * max(1, len(shingles)) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(shingles) & U(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def most_common(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """An upper bound of the intersection of two sets of n and m shingles with bitmaps a and b.
+
+    A bit of only one bitmap shows a shingle of only one set, so no pair is lost by this bound. Of bitmaps of unequal
+    length the longer is folded to the other's.
+    """
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.size(x) / F.lit(2)
+        return F.when(
+            F.size(x) > F.size(y),
+            F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, half.cast("int") + 1, half.cast("int")), lambda p, q: p.bitwiseOR(q)),
+        ).otherwise(x)
+
+    x, y = folded(a, b), folded(b, a)
+    ones = lambda z: F.aggregate(z, F.lit(0), lambda t, p: t + F.bit_count(p))
+    both = ones(F.zip_with(x, y, lambda p, q: p.bitwiseAND(q)))
+    return F.least(n - ones(x) + both, m - ones(y) + both)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The links among pairs (u, v), checked on the sets of whole texts."""
-    joined = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(
-        texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v"
-    )
-    rows = small_batches(joined.select("u", "v", "a", "b"))
+    """The links among pairs (u, v), checked on the sets of whole texts. Texts are joined by shuffling at any size."""
+    side = lambda name, text: texts.select(F.col("id").alias(name), F.col("text").alias(text)).hint("merge")
+    rows = small_batches(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"))
     return materialize(rows.mapInArrow(partial(_alike, percent, width), "u long, v long"))
 
 
@@ -111,6 +146,79 @@ def _near(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
+def _apart(a: Column, b: Column) -> list[Column]:
+    """The differing slots of each chunk."""
+    return [differing(a[c], b[c]) for c in range(CHUNKS)]
+
+
+def _total(counts: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, counts)
+
+
+def _within(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sizes and signatures allow a link."""
+    about = lambda side: classes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
+    near = _near(F.col("n_u"), F.col("n_v"), percent) & (_total(_apart(F.col("sig_u"), F.col("sig_v"))) <= FARTHEST)
+    return pairs.join(about("u"), "u").join(about("v"), "v").where(near).select("u", "v")
+
+
+def _ordered(u: Column, v: Column) -> list[Column]:
+    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
+
+
+def _open_rows(buckets: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold several components, with the largest of these."""
+    placed = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = (
+        placed.groupBy("key", "component")
+        .agg(F.count("*").alias("size"))
+        .groupBy("key")
+        .agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("key", "largest")
+    )
+    return materialize(placed.join(materialize(mixed), "key").join(classes.select("id", "n", "sig"), "id"))
+
+
+def _to_hubs(rows: DataFrame) -> DataFrame:
+    """Pairs of the rows outside a bucket's largest component with HUBS members of it, taken by different hashes."""
+    inside = F.col("component") == F.col("largest")
+    hubs = materialize(
+        rows.where(inside)
+        .groupBy("key")
+        .agg(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(s))) for s in range(HUBS)]).alias("hubs"))
+        .withColumn("hubs", F.array_distinct("hubs"))
+    )
+    return rows.where(~inside).join(hubs, "key").select(F.col("id").alias("u"), F.explode("hubs").alias("v")).distinct()
+
+
+def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """Every pair in a bucket whose components differ, sizes, signatures and bitmaps allowing a link. One of the two is outside
+    the bucket's largest component, so the rows of that component aren't compared with each other."""
+    side = lambda name: rows.select(
+        F.col("key").alias(f"key_{name}"), *[F.col(x).alias(f"{x}_{name}") for x in ("id", "component", "n", "sig", "bits")], *(["largest"] if name == "u" else [])
+    )
+    errors = _apart(F.col("sig_u"), F.col("sig_v"))
+    # Each pair once: in its first chunk that fits, and there at the first blank if no slot differs. The key's low bits
+    # tell the chunk and the blank.
+    chunk = F.floor(F.pmod(F.col("key_u"), F.lit(KEYS)) / SLOTS)
+    blank = F.pmod(F.pmod(F.col("key_u"), F.lit(KEYS)), F.lit(SLOTS))
+    first = reduce(lambda rest, c: F.when(errors[c] <= ERRORS, F.lit(c)).otherwise(rest), reversed(range(CHUNKS)), F.lit(CHUNKS))
+    here = reduce(lambda rest, c: F.when(chunk == c, errors[c]).otherwise(rest), reversed(range(CHUNKS)), F.lit(SLOTS))
+    wanted = (
+        (F.col("component_u") != F.col("component_v"))
+        & ((F.col("component_v") == F.col("largest")) | (F.col("id_u") < F.col("id_v")))
+        & _near(F.col("n_u"), F.col("n_v"), percent)
+        & (chunk == first)
+        & ((here > 0) | (blank == 0))
+        & (_total(errors) <= FARTHEST)
+    )
+    bound = most_common(F.col("n_u"), F.col("n_v"), F.col("bits_u"), F.col("bits_v"))
+    wanted = wanted & (F.when(wanted, bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent))
+    u, v = side("u").where("component_u <> largest"), side("v")
+    return u.join(v, (F.col("key_u") == F.col("key_v")) & wanted).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the least id reachable over links) and kept.
 
@@ -128,59 +236,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .agg(F.min_by(F.struct("id", "sig"), "id").alias("x"))
         .select(*same, "x.id", "x.sig")
     )
-    # Hubs: of each key that several classes share, the least class.
-    hubs = materialize(_index(classes).groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", "hub"))
-    buckets = materialize(_index(classes).join(hubs, "key"))
-    stars = materialize(buckets.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
-    met = stars.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = materialize(read.join(met, "id", "left_semi").distinct())
-    about = lambda side: classes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
-    apart = lambda a, b: [differing(a[c], b[c]) for c in range(CHUNKS)]
-    add = lambda xs: reduce(lambda x, y: x + y, xs)
-    pairs = (
-        stars.join(about("u"), "u")
-        .join(about("v"), "v")
-        .where(_near(F.col("n_u"), F.col("n_v"), percent) & (add(apart(F.col("sig_u"), F.col("sig_v"))) <= FARTHEST))
-        .select("u", "v")
-    )
-    links = _confirm(pairs, texts, percent, width)
+    shared = materialize(_index(classes).groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
+    buckets = materialize(_index(classes).join(shared, "key"))
+    texts = materialize(read.join(buckets.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    hubs = materialize(buckets.groupBy("key").agg(F.min("id").alias("hub")))
+    stars = buckets.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
+    compared = materialize(_within(stars, classes, percent))
+    links = _confirm(compared, texts, percent, width)
     found = materialize(components(links).withColumnRenamed("node", "id"))
-    # What is left: pairs in a bucket whose components differ. One of the two is outside the bucket's largest component.
-    placed = materialize(
-        buckets.select("key", "c", "j", "id")
-        .join(found, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    mixed = materialize(
-        placed.groupBy("key", "component")
-        .agg(F.count("*").alias("size"))
-        .groupBy("key")
-        .agg(F.max_by("component", "size").alias("largest"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select("key", "largest")
-    )
-    open_rows = materialize(placed.join(mixed, "key").join(classes.select("id", "n", "sig"), "id"))
-    side = lambda name: open_rows.select(
-        "key", *[F.col(x).alias(f"{x}_{name}") for x in ("id", "component", "n", "sig")], *(["c", "j", "largest"] if name == "u" else [])
-    )
-    errors = apart(F.col("sig_u"), F.col("sig_v"))
-    first = reduce(lambda rest, c: F.when(errors[c] <= ERRORS, F.lit(c)).otherwise(rest), reversed(range(CHUNKS)), F.lit(CHUNKS))
-    here = reduce(lambda rest, c: F.when(F.col("c") == c, errors[c]).otherwise(rest), reversed(range(CHUNKS)), F.lit(SLOTS))
-    crossing = (
-        (F.col("component_u") != F.col("component_v"))
-        & ((F.col("component_v") == F.col("largest")) | (F.col("id_u") < F.col("id_v")))
-        & _near(F.col("n_u"), F.col("n_v"), percent)
-        # Each pair once: in its first chunk that fits, and there at the first blank if no slot differs.
-        & (F.col("c") == first)
-        & ((here > 0) | (F.col("j") == 0))
-        & (add(errors) <= FARTHEST)
-    )
-    u, v = side("u").where("component_u <> largest").alias("x"), side("v").alias("y")
-    rest = u.join(v, (F.col("x.key") == F.col("y.key")) & crossing).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
-    more = _confirm(rest, texts, percent, width)
-    if not more.isEmpty():
-        star_links = found.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-        found = materialize(components(more.unionByName(star_links)).withColumnRenamed("node", "id"))
+    for step in ("hubs", "all"):
+        rows = _open_rows(buckets, found, classes)
+        if rows.isEmpty():
+            break
+        if step == "hubs":
+            pairs = _within(_to_hubs(rows), classes, percent)
+        else:
+            marks = small_batches(texts).mapInArrow(partial(_mark, width), "id long, bits array<long>")
+            pairs = _crossing(rows.join(marks, "id"), percent)
+        pairs = materialize(pairs.select(*_ordered(F.col("u"), F.col("v"))).distinct().join(compared, ["u", "v"], "left_anti"))
+        more = _confirm(pairs, texts, percent, width)
+        compared = compared.unionByName(pairs)
+        if not more.isEmpty():
+            stars = found.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+            found = materialize(components(more.unionByName(stars)).withColumnRenamed("node", "id"))
     named = materialize(classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component")))
     out = signed.select("id", *same).join(named, same, "left")
     component = F.coalesce("component", "id")
