@@ -270,12 +270,12 @@ def emit_cap(spark, d):
     return crawl.emitted(index.anchors(pages), index.url_ids(pages), 3)
 
 
-@query(f"SELECT {NORM.format('url')} AS url, row_number() OVER (ORDER BY {NORM.format('url')}) - 1 AS doc_id FROM (SELECT DISTINCT url FROM pages)")
+@query(f"SELECT url, row_number() OVER (ORDER BY url) - 1 AS doc_id FROM (SELECT DISTINCT {NORM.format('url')} AS url FROM pages)")
 def doc_id_assign(spark, d):
     return crawl.with_ids(table(spark, d, "pages").select(U.normalize(F.col("url")).alias("url")))
 
 
-@query(f"SELECT row_number() OVER (ORDER BY {NORM.format('url')}) - 1 || chr(9) || {NORM.format('url')} AS value FROM pages")
+@query(f"SELECT row_number() OVER (ORDER BY url) - 1 || chr(9) || url AS value FROM (SELECT DISTINCT {NORM.format('url')} AS url FROM pages)")
 def id_url_listing(spark, d):
     from seekwell.sources.io import id_url_listing
 

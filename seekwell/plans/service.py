@@ -65,7 +65,7 @@ def spellcheck_compat(spark, d):
     return suggest.corrected_queries(asked(spark), popular(spark, d), 2, compat=True)
 
 
-CACHE = "cache AS (SELECT user_id AS doc_id, max(value) AS score, epoch_ms(max(ts)) AS last_update FROM events GROUP BY user_id)"
+CACHE = "cache AS (SELECT user_id AS doc_id, max(value) AS score, (epoch_us(max(ts)) // 1000)::bigint AS last_update FROM events GROUP BY user_id)"
 NOW = 1706572800000
 
 
