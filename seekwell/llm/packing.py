@@ -10,31 +10,42 @@ by hash, is kept as filling: laid end to end and cut where the gaps of the seque
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches
+from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches, trim
 from seekwell.session import materialize
 
-#: Lengths are planned in classes of this many tokens.
-UNIT = 32
+#: Lengths are planned in classes of this many tokens, sequences in steps of that many.
+UNIT, STEP = 32, 8
+#: A length that one in so many pieces has is a class of its own.
+FREQUENT = 100
 #: One document in so many is filling.
 FILLING = 16
-#: Chunks of text that each Python worker keeps the ids of; beyond this the memory is emptied and filled again.
-CHUNKS_KEPT, LONGEST_KEPT = 1_000_000, 64
+#: Words that each Python worker keeps the ids of; beyond this the older half goes.
+WORDS_KEPT, LONGEST_KEPT = 600_000, 64
+#: How the vocabulary cuts lower-case text into words, for any text and for ASCII.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+#: Fixed value: what tokens that end a word end with.
+WORD_END = "</w>"
+WORDS_AT_ONCE = 500
 #: Pieces ranked, or intervals summed, by one task at a time.
-RANKED_ROWS = 50_000
+RANKED_ROWS = 10_000
 #: Tokens of filling that one join key spans.
 BIN = 1 << 15
-#: Simplex steps at most; the plan is valid after any of them.
-STEPS = 5000
+#: Simplex pivots at most; the plan is valid after any of them.
+PIVOTS = 5000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------------
@@ -46,24 +57,44 @@ def _library(path: str):
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return library, {}
+    vocabulary = library.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+    return library, ends, {}
+
+
+def words_of(text: str) -> list[str] | None:
+    """The words that the vocabulary's own rules cut a text into; None where only the library itself knows: around
+    special strings, and where a letter's lower case depends on what follows."""
+    if "<|" in text:
+        return None
+    if text.isascii():
+        return ASCII_WORDS(text.lower())
+    return None if "\u03a3" in text else WORDS(unicodedata.normalize("NFC", text).lower())
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of whole texts, little-endian unsigned 32-bit integers. The vocabulary drops white space and no token or
-    special string spans a space or line break, so the parts between them are encoded once each and joined."""
-    library, kept = _library(path)
-    parts = [text.replace("\n", " ").split(" ") for text in texts]
-    if len(kept) > CHUNKS_KEPT:
-        kept.clear()
-    new = list(set().union(*parts).difference(kept)) if parts else []
-    encoded = library.encode_batch_fast(new, add_special_tokens=False)
-    for part, e in zip(new, encoded):
-        kept[part] = np.array(e.ids, "<u4").tobytes() if len(e.ids) > 3 else b"".join([i.to_bytes(4, "little") for i in e.ids])
-    out = [b"".join(map(kept.__getitem__, own)) for own in parts]
-    for part in new:
-        if len(part) > LONGEST_KEPT:
-            del kept[part]
+    """Ids of whole texts, little-endian unsigned 32-bit integers. Words are independent of each other, so the library
+    encodes each new one once."""
+    library, ends, kept = _library(path)
+    trim(kept, WORDS_KEPT)
+    cut = list(map(words_of, texts))
+    asked = list(set().union(*[ws for ws in cut if ws]).difference(kept))
+    # Words of letters are encoded side by side; each ends with the only token that can end a word.
+    letters = [w for w in asked if w.isalpha()]
+    for i in range(0, len(letters), WORDS_AT_ONCE):
+        some = letters[i : i + WORDS_AT_ONCE]
+        ids = np.array(library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        packed = ids.tobytes()
+        kept.update(zip(some, [packed[x:y] for x, y in zip([0, *stops], stops)], strict=True))
+    alone = lambda some: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(some, add_special_tokens=False)]
+    others = [w for w in asked if w not in kept]
+    kept.update(zip(others, alone(others)))
+    out = [alone([text])[0] if ws is None else b"".join(map(kept.__getitem__, ws)) for text, ws in zip(texts, cut)]
+    for word in asked:
+        if len(word) > LONGEST_KEPT:
+            del kept[word]
     return out
 
 
@@ -89,7 +120,7 @@ def _pieces(path: str, capacity: int, end: int, batches: Iterator[pa.RecordBatch
         )
 
 
-# ---- the plan: at most capacity / UNIT classes, on the driver -----------------------------------------------------
+# ---- the plan: at most capacity / UNIT + FREQUENT classes, on the driver -----------------------------------------------------
 def price(duals: np.ndarray, widths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of the greatest total value that fits, by dynamic programming over capacities."""
     value, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -115,7 +146,7 @@ def column_generation(widths: np.ndarray, demand: np.ndarray, capacity: int) ->
     """Fractional numbers of patterns (columns) that meet the demand with the fewest sequences."""
     basis = np.diag(capacity // widths).astype(float)
     amount = demand / np.diag(basis)
-    for _ in range(STEPS):
+    for _ in range(PIVOTS):
         duals = np.linalg.solve(basis.T, np.ones(len(widths)))
         worth, pattern = price(duals, widths, capacity)
         if worth <= 1 + 1e-9:
@@ -131,17 +162,33 @@ def column_generation(widths: np.ndarray, demand: np.ndarray, capacity: int) ->
     return basis.T.round().astype(int), amount
 
 
+def classes_of(lengths: dict[int, int]) -> dict[int, int]:
+    """length -> the greatest length of its class. Classes span UNIT tokens, but a length that many pieces have ends a
+    class of its own, so pieces of frequent lengths are planned without rounding up."""
+    total, ends = sum(lengths.values()), []
+    for length in sorted(lengths):
+        new = not ends or -(-length // UNIT) != -(-ends[-1] // UNIT) or lengths[ends[-1]] * FREQUENT >= total
+        ends = [*ends, length] if new else [*ends[:-1], length]
+    out, i = {}, 0
+    for length in sorted(lengths):
+        i += length > ends[i]
+        out[length] = ends[i]
+    return out
+
+
 def plan(lengths: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(number of sequences, pieces of each class) for a histogram of lengths; every piece has a place."""
+    """(number of sequences, pieces of each class) for a histogram of lengths; every piece has a place. A class is
+    named by its greatest length."""
     demand: dict[int, int] = {}
-    for length, n in lengths.items():
-        demand[-(-length // UNIT)] = demand.get(-(-length // UNIT), 0) + n
+    for length, end in classes_of(lengths).items():
+        demand[end] = demand.get(end, 0) + lengths[length]
     if not demand:
         return []
-    classes = np.array(sorted(demand))
-    wanted = np.array([demand[c] for c in classes])
-    units = capacity // UNIT
-    patterns, amounts = column_generation(classes, wanted.astype(float), units)
+    ends = np.array(sorted(demand))
+    widths = -(-ends // STEP)
+    wanted = np.array([demand[c] for c in ends.tolist()])
+    units = capacity // STEP
+    patterns, amounts = column_generation(widths, wanted.astype(float), units)
     chosen: list[tuple[int, dict[int, int]]] = []
     left = wanted.copy()
     for pattern, amount in sorted(zip(patterns.tolist(), amounts.tolist()), key=lambda x: (-x[1], x[0])):
@@ -149,15 +196,15 @@ def plan(lengths: dict[int, int], capacity: int) -> list[tuple[int, dict[int, in
         n = int(min([np.floor(amount + 1e-6), *(left[used > 0] // used[used > 0])])) if used.any() else 0
         if n > 0:
             left -= n * used
-            chosen.append((n, {int(c): int(k) for c, k in zip(classes, used) if k}))
+            chosen.append((n, {int(c): int(k) for c, k in zip(ends, used) if k}))
     while left.any():  # the remainder, largest first: each pattern is used as often as it can be
         room, used = units, np.zeros_like(left)
-        for i in range(len(classes) - 1, -1, -1):
-            used[i] = min(left[i], room // classes[i])
-            room -= used[i] * classes[i]
+        for i in range(len(ends) - 1, -1, -1):
+            used[i] = min(left[i], room // widths[i])
+            room -= used[i] * widths[i]
         n = int((left[used > 0] // used[used > 0]).min())
         left -= n * used
-        chosen.append((n, {int(c): int(k) for c, k in zip(classes, used) if k}))
+        chosen.append((n, {int(c): int(k) for c, k in zip(ends, used) if k}))
     return chosen
 
 
@@ -193,18 +240,20 @@ def running_start(df: DataFrame, order: list[str], value: str, n: int, group: Co
     )
 
 
-def _place(whole: DataFrame, rows: list, n: int) -> DataFrame:
+def _place(whole: DataFrame, lengths: dict[int, int], chosen: list, n: int) -> DataFrame:
     """Rank the pieces of each class and give each its sequence and its offset there."""
     spark = whole.sparkSession
     salts = max(1, -(-n // RANKED_ROWS))
-    salted = whole.withColumns({"class": F.ceil(F.col("length") / UNIT).cast("int"), "salt": F.pmod(F.xxhash64("id", "start"), F.lit(salts)).cast("int")})
+    # A row per length: bounded by the capacity.
+    names = F.broadcast(spark.createDataFrame(list(classes_of(lengths).items()) or [(0, 0)], "length long, class int"))
+    salted = whole.join(names, "length").withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("class", "salt").count().select("class", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("class", "salt").orderBy(F.desc("length"), "id", "start", "crc")
     ranked = salted.withColumn("own", F.row_number().over(own) - 1).join(starts, ["class", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     # Patterns times classes: bounded by the capacity, whatever the table.
     schema = "class int, first_rank long, ranks long, first_sequence long, k long, slot_before long"
-    where = F.broadcast(spark.createDataFrame(rows, schema))
+    where = F.broadcast(spark.createDataFrame(places(chosen) or [(0, 0, 0, 0, 1, 0)], schema))
     at = F.col("rank") - F.col("first_rank")
     placed = ranked.join(where, "class").where((at >= 0) & (at < F.col("ranks")))
     placed = placed.select(
@@ -283,8 +332,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 2, id_col:
     lengths = {r[0]: r[1] for r in whole.groupBy("length").count().collect()}
     chosen = plan(lengths, capacity)
     n_sequences = sum(n for n, _ in chosen)
-    schema_rows = places(chosen) or [(0, 0, 0, 0, 1, 0)]
-    placed = materialize(_place(whole, schema_rows, sum(lengths.values())))
+    placed = materialize(_place(whole, lengths, chosen, sum(lengths.values())))
     filling = read.where("filling IS NOT NULL").select("id", "doc_tokens", "filling")
     n_filling, total = filling.agg(F.count("*"), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
     gaps = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).select("sequence_id", "used", (capacity - F.col("used")).alias("gap")).where("gap > 0")
