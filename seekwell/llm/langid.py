@@ -28,6 +28,7 @@ HELD_BACK = 0.2
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-4
 #: Shares of a text are small numbers; this scale brings features near one.
 SCALE = 20.0
+TEXTS_AT_ONCE = 32
 #: Languages with fewer labelled texts than this aren't learned.
 LEAST_TEXTS = 2
 
@@ -82,11 +83,13 @@ class Model:
 
 
 def _sparse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    found, starts = grams(texts)
+    """Features of each text with their scaled shares, a few texts at a time."""
     rows = []
-    for i, j in zip(starts, np.append(starts[1:], len(found))):
-        ids, n = np.unique(found[i:j], return_counts=True)
-        rows.append((ids, (SCALE * n / max(1, n.sum())).astype(np.float64)))
+    for k in range(0, len(texts), TEXTS_AT_ONCE):
+        found, starts = grams(texts[k : k + TEXTS_AT_ONCE])
+        for i, j in zip(starts, np.append(starts[1:], len(found))):
+            ids, n = np.unique(found[i:j], return_counts=True)
+            rows.append((ids, (SCALE * n / max(1, n.sum())).astype(np.float32)))
     return rows
 
 
@@ -126,7 +129,7 @@ def train(texts: list[str], labels: list[str], held_back: np.ndarray) -> Model:
     model = Model(classes, table.astype(np.float32), b, 1.0)
     check = [i for i in range(len(rows)) if held_back[i] and len(rows[i][0])]
     if check and k > 1:
-        logits = np.log(np.maximum(model.probabilities([texts[i] for i in check]), 1e-300))
+        logits = np.log(np.maximum(np.concatenate([model.probabilities([texts[i]]) for i in check]), 1e-300))
         # Smoothed targets: a check without errors doesn't mean that there are none.
         slack = 1 / (len(check) + 2)
         target = np.full((len(check), k), slack / (k - 1))

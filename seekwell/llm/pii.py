@@ -177,8 +177,11 @@ def _attempts(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("no distinct surrogates found; a surrogate space is too small for the corpus")
 
 
-def replace(docs: DataFrame, key: str = "seekwell", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with every detected entity of `text_col` replaced, plus n_entities; other columns unchanged.
+def replace(
+    docs: DataFrame, key: str = "seekwell", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities"
+) -> DataFrame:
+    """`docs` with every detected entity of `text_col` replaced, plus their number in `count_col` (None: without it);
+    a column of that name gives way, all others are unchanged.
 
     Null texts stay null and have no entities; repeated rows and ids are rewritten alike. One scan finds the distinct
     entities, which meet only in aggregations by value, and one rewrites; texts are shuffled only if some entities need
@@ -188,8 +191,8 @@ def replace(docs: DataFrame, key: str = "seekwell", id_col: str = "doc_id", text
     read = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("__t"))
     entities = _entities(read, F.col("__t"))
     later = _attempts(entities, key)
-    own = docs.columns
-    df = docs
+    own = [c for c in docs.columns if c != count_col]
+    df = docs.drop(count_col) if count_col else docs
     if later.isEmpty():
         df = df.withColumn("__later", F.lit(None).cast("map<string,int>"))
     else:
@@ -213,4 +216,5 @@ def replace(docs: DataFrame, key: str = "seekwell", id_col: str = "doc_id", text
     has = F.coalesce(F.size("__m") > 0, F.lit(False))
     new = F.when(has, F.array_join(pieces, "")).otherwise(F.col(f"`{text_col}`"))
     columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
-    return df.select(*columns, F.when(has, F.size("__m")).otherwise(F.lit(0)).cast("bigint").alias("n_entities"))
+    count = F.when(has, F.size("__m")).otherwise(F.lit(0)).cast("bigint")
+    return df.select(*columns, *([count.alias(count_col)] if count_col else []))

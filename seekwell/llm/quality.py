@@ -153,7 +153,10 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return judged.select(F.col("__id").alias(id_col), *counts, "kept", "char_distance", "word_distance")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that pass all rules, columns unchanged. The rows are written once beside their counts."""
-    judged = judge(materialize(measure(docs, text_col)))
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` that pass all rules, columns unchanged whatever their names. The rows are written once beside
+    their counts."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    named = [F.col(f"`{lang_col}`").alias("lang")] if lang_col in docs.columns else []
+    measured = measure(docs.select(row, F.col(f"`{text_col}`").alias("text"), *named)).select("__row", HELD)
+    return judge(materialize(measured)).where("kept").select("__row.*")

@@ -89,7 +89,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """One row per row of `docs`: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
 
     `spans` joins kind:start:end by start, then kind in the order of KINDS; `base_sha256` hashes those of the base
-    kinds. n_examples counts live-looking values that more than MOST_OWNERS owners hold. A document is a repository
+    kinds. n_examples counts places of live-looking values that more than
+    MOST_OWNERS owners hold. A document is a repository
     unless a column names it; a missing or null owner counts as one owner. A null text has no spans. Repeated ids stay
     separate rows.
     """
@@ -102,7 +103,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     own = F.col("n_owners") <= MOST_OWNERS
     live = F.struct(F.col("s.from").alias("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("s.end").alias("end"))
     per_doc = known.groupBy("uid").agg(  # at most the spans of one text
-        F.collect_set(F.when(own, live)).alias("live"), F.count_if(~own).alias("n_examples")
+        F.collect_set(F.when(own, live)).alias("live"), F.size(F.collect_set(F.when(~own, live))).alias("n_examples")
     )
     df = read.join(per_doc, "uid", "left")
     base = F.array_sort(
