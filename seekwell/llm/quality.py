@@ -150,7 +150,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *named)
     judged = judge(materialize(measure(read).select("__id", HELD)))
     counts = [F.col(HELD)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return judged.select(F.col("__id").alias(id_col), *counts, "kept", "char_distance", "word_distance")
+    return judged.select(F.col("__id").alias(id_col), *counts, "kept", *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
