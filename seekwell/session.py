@@ -13,6 +13,10 @@ TABLES = (
 ).split()
 
 
+#: Plans are kept as text for monitoring; of wide expressions that would be many megabytes in the driver.
+PLAN_TEXT = "spark.sql.maxPlanStringLength"
+
+
 def build_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that the engine assumes (UTC, AQE on)."""
     builder = (
@@ -51,6 +55,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
+    if int(spark.conf.get(PLAN_TEXT, "2147483632")) > 50_000:
+        spark.conf.set(PLAN_TEXT, "50000")
     path = f"{shared_dir(spark)}/seekwell-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
