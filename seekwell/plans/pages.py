@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seekwell.functions import html as H
 from seekwell.functions import url as U
-from seekwell.operators import crawl, index, score
+from seekwell.operators import crawl, index, match, score
 from seekwell.operators.ranking import page_of
 from seekwell.plans.registry import query
 from seekwell.session import table
@@ -293,3 +293,35 @@ def page_lines_udtf(spark, d):
     spark.udtf.register("page_lines", H.PageLinesTable)
     table(spark, d, "pages").createOrReplaceTempView("seekwell_pages")
     return spark.sql("SELECT page_id, t.tag, t.idx, t.text FROM seekwell_pages, LATERAL page_lines(html) t")
+
+
+@query(f"""WITH {FOUND}, {TAG}, {PROX}, tf AS (SELECT doc_id, word, count(*)::double AS tf FROM hits GROUP BY doc_id, word),
+ weights AS (SELECT doc_id, word, sqrt(tf * tf / sum(tf * tf) OVER (PARTITION BY doc_id)) AS ntf FROM tf),
+ lex AS (SELECT word, ln((SELECT count(DISTINCT doc_id) FROM tf)::double / count(*)) AS idf FROM tf GROUP BY word),
+ m AS (SELECT doc_id, round(sum(ntf * idf), 8) AS s FROM weights JOIN lex USING (word) WHERE word IN ('that', 'for') GROUP BY doc_id HAVING count(*) = 2)
+ SELECT doc_id, url, title, round(3.0::double * s + 2.0::double * tag_score + 1.5::double * ln(proximity_score) + 0.5::double * (1.0::double / (1 + doc_id)), 8) AS total_score
+ FROM m JOIN tags USING (doc_id) JOIN prox USING (doc_id) JOIN (SELECT page_id AS doc_id, url, substring({plain("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")}, 1, 150) AS title FROM pages) USING (doc_id)
+ ORDER BY total_score DESC, doc_id LIMIT 20""")
+def full_search(spark, d):
+    """A query from match to ranked results: term weights, tags, proximity and a link score, weighted and joined with
+    what is shown of each page."""
+    hits = english_hits(spark, d)
+    words = hits.groupBy("doc_id", F.col("word").alias("w")).agg(F.count("*").alias("tf"))
+    found = match.matches(words, WORDS, 100)
+    own = hits.where(F.col("word").isin(WORDS)).join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi")  # at most 100 matches
+    rank = (F.lit(1.0) / (F.col("doc_id") + 1)).alias("rank")
+    both = found.join(score.tag_scores(own), "doc_id").join(score.proximity_scores(own, 2), "doc_id").select("*", rank)
+    features = both.select(
+        "doc_id",
+        F.create_map(F.lit("tfIdf"), "score", F.lit("tagScore"), "tag_score", F.lit("proximityScore"), "proximity_score", F.lit("rankerScore"), "rank").alias("features"),
+    )
+    weights = spark.createDataFrame([("tfIdf", 3.0, False), *WEIGHTS], "name string, coeff double, use_log boolean")
+    totals = score.total_scores(features, weights).withColumn("total_score", F.round("total_score", 8))
+    shown = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", H.title(F.col("html")).alias("title"))
+    return shown.join(F.broadcast(score.ranked(totals, 20)), "doc_id")
+
+
+@query(r"""SELECT page_id, regexp_matches(regexp_extract(url, '^https?://([^/?#:]*)', 1), '[#?:]') OR regexp_extract(url, '^https?://([^/?#:]*)', 1) = '' AS suspect FROM pages""")
+def host_flags(spark, d):
+    """A data-quality flag: hosts that still hold separators, or none."""
+    return table(spark, d, "pages").select("page_id", U.host_is_suspect(F.col("url")).alias("suspect"))

@@ -174,3 +174,37 @@ def revisit(spark, d):
     seen = spark.sql("SELECT 'view' AS url, TIMESTAMP_NTZ '2024-01-20' AS visited UNION ALL SELECT 'click', TIMESTAMP_NTZ '2024-01-10'")
     current = table(spark, d, "events").select("event_id", F.col("event_type").alias("url"), F.col("ts").alias("modified"))
     return crawl.to_revisit(seen, current).select("event_id", F.col("url").alias("event_type"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS int) AS a, (event_id % 10)::int AS b FROM events""")
+def id_list_parse(spark, d):
+    """Lists of ids as text, such as [1, 2], read back."""
+    text = F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit(", "), (F.col("event_id") % 10).cast("string"), F.lit("]"))
+    ids = F.from_json(text, "array<int>")
+    return table(spark, d, "events").select("event_id", ids[0].alias("a"), ids[1].alias("b"))
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS seen FROM events WHERE event_id < 500""")
+def http_dates(spark, d):
+    """Times written as HTTP dates and read back."""
+    from seekwell.functions.text import http_date
+
+    events = table(spark, d, "events").where("event_id < 500")
+    text = F.date_format(F.col("ts").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss z")
+    return events.select("event_id", http_date(text).cast("timestamp_ntz").alias("seen"))
+
+
+@query("""SELECT CASE WHEN starts_with(url, 'http') THEN url ELSE 'https://' || url END AS url FROM (SELECT 'host' || user_id || '.org' AS url FROM events UNION ALL SELECT 'http://h' || user_id FROM events)""")
+def seed_urls(spark, d):
+    from seekwell.sources.io import seeds
+
+    user = table(spark, d, "events").select("user_id")
+    bare = user.select(F.concat(F.lit("host"), "user_id", F.lit(".org")).alias("url"))
+    return seeds(bare.unionByName(user.select(F.concat(F.lit("http://h"), "user_id").alias("url"))))
+
+
+@query(f"""WITH {DW} SELECT count(*) AS rows, count(DISTINCT w) AS words, count(DISTINCT doc_id) AS docs FROM dw""")
+def store_statistics(spark, d):
+    from seekwell.sources.io import stored_statistics
+
+    return stored_statistics(english_words(spark, d))[0]
