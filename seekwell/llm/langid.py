@@ -163,10 +163,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31))
     chosen = labelled.where(F.col(lang_col).isin(list(counts)) & (draw < F.element_at(limit, F.col(lang_col))))
     rows = chosen.select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(1)).alias("order")
-    ).toArrow().sort_by([("order", "ascending"), ("text", "ascending")])
-    order = rows["order"].to_numpy()
-    return train(rows["text"].to_pylist(), rows["lang"].to_pylist(), order % 1000 < 1000 * HELD_BACK)
+        F.lit(0).alias("one"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(1)).alias("order")
+    )
+    # The sample is bounded, so one task may train on it; the driver only sees the model.
+    classes, shape, weights, bias, temperature = rows.groupBy("one").applyInArrow(
+        _train, "classes array<string>, shape array<int>, weights binary, bias array<double>, temperature double"
+    ).first()
+    return Model(classes, np.frombuffer(weights, np.float32).reshape(shape), np.array(bias), temperature)
+
+
+def _train(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("order", "ascending"), ("text", "ascending")])
+    held_back = rows["order"].to_numpy() % 1000 < 1000 * HELD_BACK
+    m = train(rows["text"].to_pylist(), rows["lang"].to_pylist(), held_back)
+    return pa.table(
+        {
+            "classes": pa.array([m.classes], pa.list_(pa.string())), "shape": pa.array([list(m.weights.shape)], pa.list_(pa.int32())),
+            "weights": pa.array([m.weights.tobytes()], pa.binary()), "bias": pa.array([m.bias.tolist()], pa.list_(pa.float64())),
+            "temperature": pa.array([m.temperature], pa.float64()),
+        }
+    )
 
 
 def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

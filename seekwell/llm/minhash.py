@@ -201,20 +201,21 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
     errors = _apart(F.col("sig_u"), F.col("sig_v"))
     # Each pair once: in its first chunk that fits, and there at the first blank if no slot differs. The key's low bits
     # tell the chunk and the blank.
-    chunk = F.floor(F.pmod(F.col("key_u"), F.lit(KEYS)) / SLOTS)
+    chunk = F.floor(F.pmod(F.col("key_u"), F.lit(KEYS)) / SLOTS).cast("int")
     blank = F.pmod(F.pmod(F.col("key_u"), F.lit(KEYS)), F.lit(SLOTS))
-    first = reduce(lambda rest, c: F.when(errors[c] <= ERRORS, F.lit(c)).otherwise(rest), reversed(range(CHUNKS)), F.lit(CHUNKS))
-    here = reduce(lambda rest, c: F.when(chunk == c, errors[c]).otherwise(rest), reversed(range(CHUNKS)), F.lit(SLOTS))
+    here = differing(F.get("sig_u", chunk), F.get("sig_v", chunk))
+    first = reduce(lambda x, y: x & y, [(chunk <= c) | (errors[c] > ERRORS) for c in range(CHUNKS)])
+    bound = most_common(F.col("n_u"), F.col("n_v"), F.col("bits_u"), F.col("bits_v"))
     wanted = (
         (F.col("component_u") != F.col("component_v"))
         & ((F.col("component_v") == F.col("largest")) | (F.col("id_u") < F.col("id_v")))
         & _near(F.col("n_u"), F.col("n_v"), percent)
-        & (chunk == first)
+        & (here <= ERRORS)
         & ((here > 0) | (blank == 0))
+        & first
         & (_total(errors) <= FARTHEST)
+        & (bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
     )
-    bound = most_common(F.col("n_u"), F.col("n_v"), F.col("bits_u"), F.col("bits_v"))
-    wanted = wanted & (F.when(wanted, bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent))
     u, v = side("u").where("component_u <> largest"), side("v")
     return u.join(v, (F.col("key_u") == F.col("key_v")) & wanted).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
 
