@@ -14,7 +14,8 @@ from seekwell.operators.ranking import last_per, top
 
 
 def read_lines(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
-    """(file, line, value): text files with line numbers from 0; `suffix` keeps files whose names end so (shards)."""
+    """(file, line, value): text files with line numbers from 0, each read whole by one task; `suffix` keeps files whose
+    names end so (shards). Where numbers don't matter, `read_text` splits files of any size."""
     whole = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}" if suffix else None).withColumn("file", F.input_file_name())
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)
     return whole.select("file", F.posexplode(lines).alias("line", "value"))
