@@ -9,6 +9,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,15 +76,15 @@ def normal_form(kind: Column, match: Column) -> Column:
 
 
 def _draw(key: str, kind: Column, normal: Column, attempt: Column, part: str) -> Column:
-    """64 hexadecimal digits that nobody without the key can foresee: a nested hash, so texts can't be extended."""
+    """64 hexadecimal digits, twice, that nobody without the key can foresee: a nested hash, so texts can't be extended."""
     said = F.concat_ws("\x1f", F.lit(part), kind, attempt.cast("string"), normal)
     inner = F.sha2(F.concat(F.lit(f"{key}\x1f"), F.encode(said, "UTF-8")), 256)
-    return F.sha2(F.concat(F.lit(f"{key}\x1e"), inner), 256)
+    return F.repeat(F.sha2(F.concat(F.lit(f"{key}\x1e"), inner), 256), 2)
 
 
 def _number(draw: Column, at: Column, digits: int = 4) -> Column:
-    """Some digits of a draw as a number, going round at its end."""
-    return F.conv(F.substring(F.concat(draw, draw), F.pmod(at * digits, F.lit(64)) + 1, digits), 16, 10).cast("int")
+    """Some digits of a draw, which is written twice, as a number; counting goes round at its end."""
+    return F.conv(F.substring(draw, F.pmod(at * digits, F.lit(64)) + 1, digits), 16, 10).cast("int")
 
 
 def _spelled(match: Column, draw: Column, kept: Column) -> Column:
@@ -111,40 +112,57 @@ def _spelled(match: Column, draw: Column, kept: Column) -> Column:
     return F.aggregate(chars, state(F.lit(0), F.lit(0), F.lit("")), step, lambda s: s["out"])
 
 
-def surrogate(kind: Column, match: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one spelling of an entity."""
-    draw = _draw(key, kind, normal_form(kind, match), attempt, "s")
-    at = match.alias("m")
-    local = F.substring_index(match, "@", 1)
-    domain = F.regexp_replace(F.substring_index(match, "@", -1), r"\.[^.]*$", "")
-    case_free = lambda x: F.lower(x)  # noqa: E731  two spellings in other case stay one person
-    email = F.concat(
-        _spelled(case_free(local), draw, F.lit(0)), F.lit("@"),
-        _spelled(case_free(domain), _draw(key, kind, F.lower(domain), attempt, "d"), F.lit(0)), F.lit(".example"),
-    )
-    octet = lambda i: (1 + F.pmod(_number(draw, F.lit(i)), F.lit(254))).cast("string")
-    ip = F.concat_ws(".", *map(octet, range(4)))
+def _chosen(cases: list[tuple[Column, list[str]]], at: Column) -> Column:
+    """An entry of the first list whose condition holds."""
+    words = reduce(lambda rest, c: F.when(c[0], F.array(*map(F.lit, c[1]))).otherwise(rest), reversed(cases[:-1]), F.array(*map(F.lit, cases[-1][1])))
+    return F.element_at(words, 1 + F.pmod(at, F.size(words)))
+
+
+def _surrogate(x: Column) -> Column:
+    """The replacement of one spelling: x has the match, its kind, the parts of an address or name, and the draws."""
+    kind, match, draw = x["kind"], x["match"], x["draw"]
+    email = F.concat(_spelled(F.lower(x["front"]), draw, F.lit(0)), F.lit("@"), _spelled(F.lower(x["back"]), x["other"], F.lit(0)), F.lit(".example"))
+    ip = F.concat_ws(".", *[(1 + F.pmod(_number(draw, F.lit(i)), F.lit(254))).cast("string") for i in range(4)])
+    first = F.substring_index(x["back"], " ", 1)
+    female = x["front"].rlike(rf"^(?:{'|'.join(TITLES['f'])})") | ((x["front"] == "") & first.isin([n for k, names in GIVEN.items() if k[0] == "f" for n in names]))
+    cyrillic = x["back"].rlike(r"^\p{IsCyrillic}")
+    scripts = [(cyrillic, SYLLABLES["cyrillic"]), (F.lit(True), SYLLABLES["latin"])]
+    ending = F.when(~cyrillic, "").when(female, ENDINGS["f", "cyrillic"]).otherwise(ENDINGS["m", "cyrillic"])
+    family = F.initcap(F.concat(*[_chosen(scripts, _number(draw, F.lit(i))) for i in range(1, 5)], ending))
+    given = [(female & cyrillic, GIVEN["f", "cyrillic"]), (cyrillic, GIVEN["m", "cyrillic"]), (female, GIVEN["f", "latin"]), (F.lit(True), GIVEN["m", "latin"])]
+    whole = F.when(F.contains(x["back"], F.lit(" ")), F.concat_ws(" ", _chosen(given, _number(draw, F.lit(0))), family)).otherwise(family)
     prefix = F.length(F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[^0-9])", 0))
-    title = F.regexp_extract(match, rf"^(?:{_TITLE})\.?\x20", 0)
-    bare = F.regexp_replace(match, rf"^(?:{_TITLE})\.?\x20", "")
-    first = F.substring_index(bare, " ", 1)
-    female = title.rlike(rf"^(?:{'|'.join(TITLES['f'])})") | ((title == "") & first.isin([n for k, names in GIVEN.items() if k[0] == "f" for n in names]))
-    cyrillic = bare.rlike(r"^\p{IsCyrillic}")
-    one = lambda words, i: F.element_at(F.array(*map(F.lit, words)), 1 + F.pmod(_number(draw, F.lit(i)), F.lit(len(words))))
-
-    def person(gender: str, script: str) -> Column:
-        family = F.initcap(F.concat(*[one(SYLLABLES[script], i) for i in range(1, 5)], F.lit(ENDINGS.get((gender, script), ""))))
-        whole = F.concat_ws(" ", one(GIVEN[gender, script], 0), family)
-        return F.concat(title, F.when(F.contains(bare, F.lit(" ")), whole).otherwise(family))
-
-    by_script = lambda g: F.when(cyrillic, person(g, "cyrillic")).otherwise(person(g, "latin"))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", ip)
-        .when(kind == "name", F.when(female, by_script("f")).otherwise(by_script("m")))
-        .when(kind == "iban", _spelled(at, draw, F.lit(4)))
-        .otherwise(_spelled(at, draw, prefix))
+    kept = F.when(kind == "iban", 4).otherwise(prefix)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", F.concat(x["front"], whole)).otherwise(_spelled(match, draw, kept))
+
+
+def surrogates(matches: Column, attempt: Callable[[Column, Column], Column], key: str) -> Column:
+    """An array of replacements for an array of matches; `attempt` tells the attempt of (kind, normal form).
+
+    Each step adds fields that the next ones read, so nothing is computed or planned more than once.
+    """
+
+    def add(made: Column, names: list[str], more: Callable[[Column], dict[str, Column]]) -> Column:
+        return F.transform(made, lambda x: F.struct(*[x[n].alias(n) for n in names], *[v.alias(k) for k, v in more(x).items()]))
+
+    kind = F.transform(matches, lambda m: F.struct(m.alias("match"), entity_type(m).alias("kind")))
+    normal = add(kind, ["match", "kind"], lambda x: {"normal": normal_form(x["kind"], x["match"])})
+    title = rf"^(?:{_TITLE})\.?\x20"
+    is_mail = lambda x: x["kind"] == "email"
+    parts = add(
+        normal, ["match", "kind", "normal"],
+        lambda x: {
+            "front": F.when(is_mail(x), F.substring_index(x["match"], "@", 1)).otherwise(F.regexp_extract(x["match"], title, 0)),
+            "back": F.when(is_mail(x), F.regexp_replace(F.substring_index(x["match"], "@", -1), r"\.[^.]*$", "")).otherwise(F.regexp_replace(x["match"], title, "")),
+            "attempt": attempt(x["kind"], x["normal"]),
+        },
+    )
+    drawn = add(
+        parts, ["match", "kind", "front", "back"],
+        # Addresses in other case stay one person, and one domain stays one domain.
+        lambda x: {"draw": _draw(key, x["kind"], x["normal"], x["attempt"], "s"), "other": _draw(key, x["kind"], F.lower(x["back"]), x["attempt"], "d")},
     )
+    return F.transform(drawn, _surrogate)
 
 
 def _entities(docs: DataFrame, text: Column) -> DataFrame:
@@ -160,7 +178,7 @@ def _attempts(entities: DataFrame, key: str) -> DataFrame:
     named = materialize(entities.groupBy("kind", "normal").agg(spelled).withColumn("attempt", F.lit(0)))
     real = named.select("kind", F.col("normal").alias("looks"))
     for _ in range(ROUNDS):
-        drawn = once(named, "made", surrogate(F.col("kind"), F.col("match"), F.col("attempt"), key))
+        drawn = once(named, "made", F.get(surrogates(F.array("match"), lambda kind, normal: F.col("attempt"), key), F.lit(0)))
         drawn = drawn.withColumn("looks", normal_form(F.col("kind"), F.col("made")))
         first = drawn.groupBy("kind", "looks").agg(F.min(F.struct("attempt", "normal")).alias("first"), F.count("*").alias("n"))
         clash = first.where("n > 1").select("kind", "looks", F.lit(None).cast("string").alias("owner"), F.col("first.normal").alias("stays"))
@@ -205,13 +223,8 @@ def replace(
         )
         df = df.join(per_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
     df = once(df, "__m", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    later_of = lambda k, n: F.coalesce(F.element_at("__later", F.concat_ws("\x1f", k, n)), F.lit(0))
-
-    def replaced(m: Column) -> Column:
-        kind = entity_type(m)
-        return surrogate(kind, m, later_of(kind, normal_form(kind, m)), key)
-
-    made = F.transform("__m", replaced)
+    tried = lambda kind, normal: F.coalesce(F.element_at("__later", F.concat_ws("\x1f", kind, normal)), F.lit(0))
+    made = surrogates(F.col("__m"), tried, key)
     pieces = F.zip_with(gaps(text, ANY), made, lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     has = F.coalesce(F.size("__m") > 0, F.lit(False))
     new = F.when(has, F.array_join(pieces, "")).otherwise(F.col(f"`{text_col}`"))
