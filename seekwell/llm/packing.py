@@ -37,6 +37,9 @@ WORDS_KEPT, LONGEST_KEPT = 600_000, 64
 #: How the vocabulary cuts lower-case text into words, for any text and for ASCII.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+#: The same for texts of ASCII and the small letters of Latin-1 only.
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9\xdf-\xf6\xf8-\xff]+").findall
+BEYOND_LATIN = re.compile(r"[^\x00-\x7f\xdf-\xf6\xf8-\xff]").search
 #: Fixed value: what tokens that end a word end with.
 WORD_END = "</w>"
 WORDS_AT_ONCE = 500
@@ -70,7 +73,10 @@ def words_of(text: str) -> list[str] | None:
         return None
     if text.isascii():
         return ASCII_WORDS(text.lower())
-    return None if "\u03a3" in text else WORDS(unicodedata.normalize("NFC", text).lower())
+    if "\u03a3" in text:
+        return None
+    small = unicodedata.normalize("NFC", text).lower()
+    return WORDS(small) if BEYOND_LATIN(small) else LATIN_WORDS(small)
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
