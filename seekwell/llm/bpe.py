@@ -25,14 +25,18 @@ from seekwell.llm.batches import by_bytes, ids_and_texts, small_batches, trim
 
 #: How byte-level vocabularies split a text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks, and pair verdicts, that each Python worker keeps. Beyond this the older half goes.
-CHUNKS_KEPT, PAIRS_KEPT = 1_000_000, 1_000_000
-#: Longer chunks are encoded each time.
+#: Words, and pair verdicts, that each Python worker keeps. Beyond this the older half goes.
+WORDS_KEPT, PAIRS_KEPT = 800_000, 1_000_000
+#: Longer words are encoded each time.
 LONGEST_KEPT = 64
 NONE = np.int64(1) << 40  # a rank after all others
-#: White space before a space: the one case where cutting at every space could change the split.
-AMBIGUOUS = re.compile("[\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　] ")
-BEFORE_SPACE = regex.compile(r"(?<=\S)(?= )")
+_SPACE = r"[ \t\n\x0b\x0c\r]"
+_NARROW = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\r0-9L]+|S+(?![^ \t\n\x0b\x0c\r])|S+".replace("S+", f"{_SPACE}+")
+WORDS = regex.compile(PATTERN).findall
+#: The same pattern for ASCII, and for ASCII with the letters of Latin-1.
+ASCII_WORDS = re.compile(_NARROW.replace("L", "A-Za-z")).findall
+LATIN_WORDS = re.compile(_NARROW.replace("L", r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff")).findall
+BEYOND_LATIN = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]").search
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,9 +85,8 @@ class Vocabulary:
             if len(b) > 2:
                 self.longest[b[:3]] = max(self.longest.get(b[:3], 0), len(b))
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.split = regex.compile(PATTERN)
         self.known: dict[int, bool] = {}  # verdicts on pairs, by left * size + right
-        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str | int, bytes] = {}
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest matches from the left."""
@@ -183,31 +186,27 @@ class Vocabulary:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers, special tokens recognised where they stand."""
-        chunks, per_text = self.chunks, []
+        kept, per_text = self.words, []
         for text in texts:
             own: list = []
             if self.special_split and any(s in text for s in self.special):
                 for part in self.special_split.split(text):
-                    own += [self.special[part]] if part in self.special else independent_chunks(part)
+                    own += [self.special[part]] if part in self.special else words_of(part)
             else:
-                own = independent_chunks(text)
+                own = words_of(text)
             per_text.append(own)
-        trim(chunks, CHUNKS_KEPT)
-        new = [c for c in set().union(*per_text).difference(chunks) if isinstance(c, str)]
-        words = list(map(self.split.findall, new))
-        distinct = list(set(chain.from_iterable(words)))
-        encoded, _ = self.encode_words([w.encode() for w in distinct])
+        trim(kept, WORDS_KEPT)
+        for i in self.special.values():
+            kept[i] = i.to_bytes(4, "little")
+        new = list(set().union(*per_text).difference(kept))
+        encoded, _ = self.encode_words([w.encode() for w in new])
         buffer = np.fromiter(chain.from_iterable(encoded), "<u4").tobytes()
         ends = list(accumulate(4 * len(e) for e in encoded))
-        as_bytes = {w: buffer[i:j] for w, i, j in zip(distinct, chain((0,), ends), ends)}
-        for chunk, ws in zip(new, words):
-            chunks[chunk] = as_bytes[ws[0]] if len(ws) == 1 else b"".join(map(as_bytes.__getitem__, ws))
-        for i in self.special.values():
-            chunks[i] = i.to_bytes(4, "little")
-        out = [b"".join(map(chunks.__getitem__, own)) for own in per_text]
-        for chunk in new:
-            if len(chunk) > LONGEST_KEPT:
-                del chunks[chunk]
+        kept.update((w, buffer[i:j]) for w, i, j in zip(new, chain((0,), ends), ends))
+        out = [b"".join(map(kept.__getitem__, own)) for own in per_text]
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del kept[word]
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -216,12 +215,11 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, found)).decode("utf-8", "replace")
 
 
-def independent_chunks(text: str) -> list[str]:
-    """Cuts before spaces where the split into words has a boundary whatever follows."""
-    if "  " in text or AMBIGUOUS.search(text):
-        return BEFORE_SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + r for r in rest]]
+def words_of(text: str) -> list[str]:
+    """The words of a text, by the quickest pattern that says the same for its letters."""
+    if text.isascii():
+        return ASCII_WORDS(text)
+    return WORDS(text) if BEYOND_LATIN(text) else LATIN_WORDS(text)
 
 
 @lru_cache(maxsize=2)
