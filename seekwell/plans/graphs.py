@@ -33,9 +33,11 @@ def user_edges(spark, d):
 
 
 def doc_edges(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 200 AND doc_id % 7 <> 0")
-    two = F.explode(F.array((F.col("doc_id") * 7 + 3) % 200, (F.col("doc_id") * 13 + 5) % 200))
-    return docs.select(F.col("doc_id").alias("src"), two.alias("dst")).distinct()
+    """Two arithmetic links from each document to documents of the whole table; every 7th has none, as SURVEY 7.3 asks."""
+    docs = table(spark, d, "documents").select("doc_id")
+    linking = docs.where("doc_id % 7 <> 0").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
+    two = F.explode(F.array((F.col("doc_id") * 7 + 3) % F.col("n"), (F.col("doc_id") * 13 + 5) % F.col("n")))
+    return linking.select(F.col("doc_id").alias("src"), two.alias("dst")).distinct()
 
 
 @query(f"""WITH {USERS}, {NODES} SELECT id, (SELECT count(*) FROM edges WHERE src = id) AS out_degree, (SELECT count(*) FROM edges WHERE dst = id) AS in_degree FROM nodes""")
@@ -66,10 +68,10 @@ def pagerank_mass(spark, d):
 
 @query(f"""WITH {DOCS} SELECT src, dst FROM edges WHERE src < 100 AND dst < 100""")
 def edge_resolve(spark, d):
-    """Links between URLs as ids; URLs that weren't crawled (here from 100 on) vanish on both ends."""
+    """Links between URLs as ids; URLs that aren't in the table vanish on both ends."""
     url = lambda c: F.concat(F.lit("http://h:80/"), c.cast("string"))
     links = doc_edges(spark, d).select(url(F.col("src")).alias("from_url"), url(F.col("dst")).alias("to_url"))
-    urls = table(spark, d, "documents").where("doc_id < 100").select(url(F.col("doc_id")).alias("url"), "doc_id")
+    urls = table(spark, d, "documents").select(url(F.col("doc_id")).alias("url"), "doc_id")
     return graph.resolved(links, urls)
 
 
