@@ -17,8 +17,9 @@ def known_words(spark, words: list[str], lex: DataFrame) -> DataFrame:
     return variants.join(lex, "w", "left_semi").select("word").distinct()
 
 
-def matches(words: DataFrame, query: list[str], limit: int = 100) -> DataFrame:
-    """(doc_id, score): documents that hold every word of the query, by the sum of the words' tf-idf.
+def matches(words: DataFrame, query: list[str], limit: int | None = 100) -> DataFrame:
+    """(doc_id, score): documents that hold every word of the query, by the sum of the words' tf-idf; all of them, in no
+    order, without a limit.
 
     Instead of a join per word, postings are filtered to the words and counted per document. `words` is (doc_id, w, tf)
     of the collection; norms and document frequencies come from all of it.
@@ -30,4 +31,5 @@ def matches(words: DataFrame, query: list[str], limit: int = 100) -> DataFrame:
     scored = few.join(F.broadcast(lex), "w").join(norms, "doc_id")  # lex has a row per word of the query
     ntf = F.sqrt(F.col("tf").cast("double") * F.col("tf") / F.col("norm"))
     found = scored.groupBy("doc_id").agg(F.round(F.sum(ntf * F.col("idf")), 8).alias("score"), F.count_distinct("w").alias("n"))
-    return top(found.where(F.col("n") == len(asked)).drop("n"), limit, F.desc("score"), F.asc("doc_id"))
+    found = found.where(F.col("n") == len(asked)).drop("n")
+    return found if limit is None else top(found, limit, F.desc("score"), F.asc("doc_id"))

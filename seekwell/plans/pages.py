@@ -307,8 +307,8 @@ def full_search(spark, d):
     what is shown of each page."""
     hits = english_hits(spark, d)
     words = hits.groupBy("doc_id", F.col("word").alias("w")).agg(F.count("*").alias("tf"))
-    found = match.matches(words, WORDS, 100)
-    own = hits.where(F.col("word").isin(WORDS)).join(F.broadcast(found.select("doc_id")), "doc_id", "left_semi")  # at most 100 matches
+    found = match.matches(words, WORDS, None)  # any match may be among the best when all scores are added
+    own = hits.where(F.col("word").isin(WORDS)).join(found.select("doc_id"), "doc_id", "left_semi")
     rank = (F.lit(1.0) / (F.col("doc_id") + 1)).alias("rank")
     both = found.join(score.tag_scores(own), "doc_id").join(score.proximity_scores(own, 2), "doc_id").select("*", rank)
     features = both.select(

@@ -1,5 +1,7 @@
 """Queries on tables larger than sf0.001, where a cut would show."""
 
+import duckdb
+
 from seekwell.plans import catalogue
 
 
@@ -22,3 +24,18 @@ def test_document_graphs_grow_with_the_table(spark, tmp_path):
     mass = run("pagerank_mass").first()
     assert mass.nodes == len(nodes) and abs(mass.mass - sum(ranks.values())) < 2e-6
     assert {tuple(r) for r in run("edge_resolve").collect()} == {(a, b) for a, b in edges if a in ids and b in ids}
+
+
+def test_full_search_ranks_every_match(spark, tmp_path):
+    """Pages beyond the first 100 by tf-idf alone have the best tags."""
+    page = '<html lang="en"><head><title>Page {}</title></head><body>{}</body></html>'
+    short, long = "<p>that for</p>", "<h1>That for</h1><p>that for " + "many other words " * 20 + "</p>"
+    bodies = [short] * 120 + [long] * 10 + ["<p>nothing here</p>"]
+    rows = [(i, f"http://h/{i}", page.format(i, b)) for i, b in enumerate(bodies)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.doc_id: r.total_score for r in catalogue.QUERIES["full_search"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {r[0]: r[3] for r in con.execute(catalogue.ORACLES["full_search"]).fetchall()}
+    assert set(range(120, 130)) < set(want) and len(want) == 20
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-8 for k in want)
