@@ -1,5 +1,7 @@
 """Queries on tables larger than sf0.001, where a cut would show."""
 
+import datetime
+
 import duckdb
 
 from seekwell.plans import catalogue
@@ -39,3 +41,10 @@ def test_full_search_ranks_every_match(spark, tmp_path):
     want = {r[0]: r[3] for r in con.execute(catalogue.ORACLES["full_search"]).fetchall()}
     assert set(range(120, 130)) < set(want) and len(want) == 20
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-8 for k in want)
+
+
+def test_http_dates_of_every_event(spark, tmp_path):
+    spark.range(1200).selectExpr("id AS event_id", "timestamp_ntz '2024-01-31 23:59:58.5' + make_dt_interval(0, 0, 0, id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.seen for r in catalogue.QUERIES["http_dates"](spark, str(tmp_path)).collect()}
+    first = datetime.datetime(2024, 1, 31, 23, 59, 58)
+    assert got == {i: first + datetime.timedelta(seconds=i) for i in range(1200)}
