@@ -54,6 +54,8 @@ ANY = "|".join(PATTERNS.values())
 HINT = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLE}|{_GIVEN})\.?\x20"
 TYPES = tuple(PATTERNS)
 ROUNDS = 50
+#: Syllables of a family name. Every so many attempts names take one more, and addresses a character, so their spaces grow.
+FAMILY_SYLLABLES, GROW_EVERY = 4, 4
 
 
 def entity_type(match: Column) -> Column:
@@ -119,16 +121,18 @@ def _chosen(cases: list[tuple[Column, list[str]]], at: Column) -> Column:
 
 
 def _surrogate(x: Column) -> Column:
-    """The replacement of one spelling: x has the match, its kind, the parts of an address or name, and the draws."""
+    """The replacement of one spelling: x has the match, its kind, the parts of an address or name, the attempt and the draws."""
     kind, match, draw = x["kind"], x["match"], x["draw"]
-    email = F.concat(_spelled(F.lower(x["front"]), draw, F.lit(0)), F.lit("@"), _spelled(F.lower(x["back"]), x["other"], F.lit(0)), F.lit(".example"))
+    more = F.floor(x["attempt"] / GROW_EVERY).cast("int")
+    email = F.concat(_spelled(F.lower(x["front"]), draw, F.lit(0)), F.substring(F.reverse(draw), F.lit(1), more), F.lit("@"), _spelled(F.lower(x["back"]), x["other"], F.lit(0)), F.lit(".example"))
     ip = F.concat_ws(".", *[(1 + F.pmod(_number(draw, F.lit(i)), F.lit(254))).cast("string") for i in range(4)])
     first = F.substring_index(x["back"], " ", 1)
     female = x["front"].rlike(rf"^(?:{'|'.join(TITLES['f'])})") | ((x["front"] == "") & first.isin([n for k, names in GIVEN.items() if k[0] == "f" for n in names]))
     cyrillic = x["back"].rlike(r"^\p{IsCyrillic}")
     scripts = [(cyrillic, SYLLABLES["cyrillic"]), (F.lit(True), SYLLABLES["latin"])]
     ending = F.when(~cyrillic, "").when(female, ENDINGS["f", "cyrillic"]).otherwise(ENDINGS["m", "cyrillic"])
-    family = F.initcap(F.concat(*[_chosen(scripts, _number(draw, F.lit(i))) for i in range(1, 5)], ending))
+    syllables = F.transform(F.sequence(F.lit(1), FAMILY_SYLLABLES + more), lambda i: _chosen(scripts, _number(draw, i)))
+    family = F.initcap(F.concat(F.array_join(syllables, ""), ending))
     given = [(female & cyrillic, GIVEN["f", "cyrillic"]), (cyrillic, GIVEN["m", "cyrillic"]), (female, GIVEN["f", "latin"]), (F.lit(True), GIVEN["m", "latin"])]
     whole = F.when(F.contains(x["back"], F.lit(" ")), F.concat_ws(" ", _chosen(given, _number(draw, F.lit(0))), family)).otherwise(family)
     prefix = F.length(F.regexp_extract(match, r"^\+[0-9]{1,3}(?=[^0-9])", 0))
@@ -158,7 +162,7 @@ def surrogates(matches: Column, attempt: Callable[[Column, Column], Column], key
         },
     )
     drawn = add(
-        parts, ["match", "kind", "front", "back"],
+        parts, ["match", "kind", "front", "back", "attempt"],
         # Addresses in other case stay one person, and one domain stays one domain.
         lambda x: {"draw": _draw(key, x["kind"], x["normal"], x["attempt"], "s"), "other": _draw(key, x["kind"], F.lower(x["back"]), x["attempt"], "d")},
     )

@@ -162,6 +162,16 @@ def test_op6_distinct_where_surrogates_collide(spark, monkeypatch):
     assert all(a == b for a, b in made) and len({a for a, _ in made}) == len(people)
 
 
+@pytest.mark.parametrize("pattern, spelled", [(r"Mr\. (\w+)", "Mr. {0}{1}an"), (r"(\S+@\S+)", "{0}@{1}.org")])
+def test_op6_more_entities_than_the_first_space_holds(spark, monkeypatch, pattern, spelled):
+    """Names from a space of 16 and addresses from one of 26 * 26 make room for more, and each stays apart."""
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "co"])
+    people = [spelled.format(a, b) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "bcdf"] if "Mr" in spelled else [f"{a}@{b}.{c}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in ("org", "net")]
+    df = spark.createDataFrame([(i, f"{p} and {p}") for i, p in enumerate(people)], "doc_id long, text string")
+    made = [re.findall(pattern, r.text) for r in pii.replace(df).collect()]
+    assert all(len(m) == 2 and m[0] == m[1] for m in made) and len({m[0] for m in made}) == len(people)
+
+
 # ---- near-duplicates ------------------------------------------------------------------------------------------------
 LOWER = {i: i + 32 for i in range(65, 91)}
 
