@@ -1,8 +1,8 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Candidates are strings that look like credentials. Their hashes are counted over distinct owners and repositories of the
-whole corpus: one that many owners hold is an example that was copied, one that a single owner holds and that looks
-random is probably live. Such values become spans of kind `live` beside the base spans. DataFrame functions only.
+whole corpus: one that many owners or many repositories hold is an example that was copied, one that a single owner
+holds in few repositories and that looks random is probably live. Such values become spans of kind `live` beside the base spans. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ ASSIGNED_CHARACTERS = 12
 KINDS = ("assign", "access", "hex", "live")
 #: Strings outside the base kinds that may be credentials: long runs of letters and digits.
 GENERIC = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"
-#: A value held by more owners than this is a copied example.
-MOST_OWNERS = 1
+#: A value held by more owners or by more repositories than this is a copied example; a few copies of a document aren't.
+MOST_OWNERS, MOST_REPOSITORIES = 1, 16
 #: Live-looking: letters and digits both, this many different characters, and none of the usual stand-ins.
 LEAST_CHARACTERS = 8
 STAND_IN = r"(?i)example|sample|dummy|change|placeholder|your|xxxx|1234567|0000000"
@@ -90,7 +90,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
     `spans` joins kind:start:end by start, then kind in the order of KINDS; `base_sha256` hashes those of the base
     kinds. n_examples counts places of live-looking values that more than
-    MOST_OWNERS owners hold. A document is a repository
+    MOST_OWNERS owners or MOST_REPOSITORIES repositories hold. A document is a repository
     unless a column names it; a missing or null owner counts as one owner. A null text has no spans. Repeated ids stay
     separate rows.
     """
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     valued = read.select("uid", "owner", repo.cast("string").alias("repository"), F.explode("spans").alias("s")).where("s.hash IS NOT NULL")
     counts = materialize(ownership(valued.select(F.col("s.hash").alias("hash"), "owner", "repository")))
     known = valued.select("uid", "s", F.col("s.hash").alias("hash")).join(counts, "hash")
-    own = F.col("n_owners") <= MOST_OWNERS
+    own = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
     live = F.struct(F.col("s.from").alias("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("s.end").alias("end"))
     per_doc = known.groupBy("uid").agg(  # at most the spans of one text
         F.collect_set(F.when(own, live)).alias("live"), F.size(F.collect_set(F.when(~own, live))).alias("n_examples")

@@ -121,6 +121,14 @@ def test_op4(spark, odd_docs, no_docs):
     assert sorted((str(r.doc_id), r.spans) for r in with_repo) == sorted((str(r.doc_id), r.spans) for r in by_id.values()) or len(with_repo) == len(SECRETS)
 
 
+def test_op4_examples_of_one_hot_owner(spark):
+    """An example all over one source isn't live; a credential in a few copies of a document stays live."""
+    rows = [(i, f"see {LIVE}", "hot") for i in range(100)] + [(100 + i, f"see {COPIED}", "hot") for i in range(3)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.n_live, r.n_examples) for r in got if r.doc_id < 100} == {(0, 1)}
+    assert {(r.n_live, r.n_examples) for r in got if r.doc_id >= 100} == {(1, 0)}
+
+
 # ---- PII ------------------------------------------------------------------------------------------------------------
 PEOPLE = [
     (1, "Mail jane.doe@Mail.example.com or JANE.DOE@mail.example.com, call +1 (243) 555-5526."), (2, "jane.doe@mail.example.com; card 4111 1111 1111 1111 / 4111111111111111; ip 10.0.0.255."),
