@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seekwell.operators import graph
-from seekwell.operators.ranking import top
+from seekwell.operators.ranking import global_rank, top
 from seekwell.plans.registry import query
 from seekwell.session import table
 
 USERS = """edges AS (SELECT DISTINCT user_id AS src, nxt AS dst FROM (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL)"""
-DOCS = """edges AS (SELECT DISTINCT doc_id AS src, dst FROM (SELECT doc_id, (doc_id * 7 + 3) % 200 AS dst FROM documents WHERE doc_id < 200 UNION ALL
- SELECT doc_id, (doc_id * 13 + 5) % 200 FROM documents WHERE doc_id < 200) WHERE doc_id % 7 <> 0)"""
+DOCS = """edges AS (SELECT DISTINCT doc_id AS src, unnest([(doc_id * 7 + 3) % n, (doc_id * 13 + 5) % n]) AS dst FROM documents, (SELECT count(*) AS n FROM documents) WHERE doc_id % 7 <> 0)"""
 NODES = "nodes AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
 
 
@@ -26,10 +24,11 @@ def ranks_sql(edges: str, k: int) -> str:
 
 
 def user_edges(spark, d):
-    """Which user comes after which, an edge for each pair of neighbours in time. Events are ordered in full, as the
-    sequence is one; this makes test graphs and isn't part of ranking them."""
-    order = Window.orderBy("ts", "event_id")
-    return table(spark, d, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst")).where("dst IS NOT NULL").distinct()
+    """Which user comes after which, an edge for each pair of neighbours in time. Places in the sequence come from
+    range partitions, and each event meets the next one by its place, so no task orders all of them."""
+    placed = global_rank(table(spark, d, "events").select("ts", "event_id", "user_id"), ["ts", "event_id"], "at")
+    after = placed.select((F.col("at") - 1).alias("at"), F.col("user_id").alias("dst"))
+    return placed.select("at", F.col("user_id").alias("src")).join(after, "at").select("src", "dst").distinct()
 
 
 def doc_edges(spark, d):
@@ -66,7 +65,7 @@ def pagerank_mass(spark, d):
     return graph.page_rank(doc_edges(spark, d), 10).agg(F.round(F.sum(F.round("rank", 9)), 6).alias("mass"), F.count("*").alias("nodes"))
 
 
-@query(f"""WITH {DOCS} SELECT src, dst FROM edges WHERE src < 100 AND dst < 100""")
+@query(f"""WITH {DOCS} SELECT src, dst FROM edges WHERE dst IN (SELECT doc_id FROM documents)""")
 def edge_resolve(spark, d):
     """Links between URLs as ids; URLs that aren't in the table vanish on both ends."""
     url = lambda c: F.concat(F.lit("http://h:80/"), c.cast("string"))

@@ -39,12 +39,12 @@ def unknown_word_filter(spark, d):
     return match.known_words(spark, ["antion", "Retion", "zzzz", "THE"], index.lexicon(english_words(spark, d)))
 
 
-@query(f"""WITH {NTF}, {LEX} SELECT * FROM (SELECT ntf.w AS w, doc_id, round(ntf * idf, 8) AS weight FROM ntf JOIN lex ON ntf.w = lex.w WHERE lex.df BETWEEN 50 AND 60)
+@query(f"""WITH {NTF}, {LEX} SELECT * FROM (SELECT ntf.w AS w, doc_id, round(ntf * idf, 8) AS weight FROM ntf JOIN lex ON ntf.w = lex.w)
  QUALIFY row_number() OVER (PARTITION BY w ORDER BY weight DESC, doc_id) <= 3""")
 def best_documents_per_word(spark, d):
-    """The three best documents of each word of middling frequency: a champion list."""
+    """The three best documents of every word: a champion list."""
     from seekwell.operators.ranking import first_per
 
-    rows = index.tfidf(english_words(spark, d)).where("df BETWEEN 50 AND 60")
+    rows = index.tfidf(english_words(spark, d))
     weighted = rows.select("w", "doc_id", F.round(F.col("ntf") * F.col("idf"), 8).alias("weight"))
     return first_per(weighted, ["w"], [F.desc("weight"), F.asc("doc_id")], 3)
