@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seekwell.functions.arrays import running_starts
+
 #: Words of letters and digits; punctuation marks are tokens of their own.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 #: Lower-case ASCII words, as the index of plain documents uses.
@@ -19,16 +21,10 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
 def token_spans(text: Column, pattern: str = TOKEN) -> Column:
     """array<struct<w, at>>: each token and the number of characters before it. Gaps and tokens alternate, so places
     are running sums of their lengths."""
-    pairs = F.zip_with(F.split(text, pattern, -1), tokens(text, pattern), lambda g, w: F.struct(F.length(g).alias("g"), w.alias("w")))
-    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
-    none = F.array().cast("array<struct<w:string,at:int>>")
-
-    def step(s: Column, p: Column) -> Column:
-        at = s["at"] + p["g"]
-        own = F.array(F.struct(p["w"].alias("w"), at.cast("int").alias("at")))
-        return state(at + F.coalesce(F.length(p["w"]), F.lit(0)), F.when(p["w"].isNull(), s["out"]).otherwise(F.concat(s["out"], own)))
-
-    return F.aggregate(pairs, state(F.lit(0), none), step, lambda s: s["out"])
+    words = tokens(text, pattern)
+    lengths = F.zip_with(F.split(text, pattern, -1), words, lambda g, w: (F.length(g) + F.coalesce(F.length(w), F.lit(0))).cast("bigint"))
+    ends = F.slice(running_starts(lengths), 2, 1 << 30)  # where each token ends: the start of the gap after it
+    return F.zip_with(words, ends, lambda w, end: F.struct(w.alias("w"), (end - F.length(w)).cast("int").alias("at")))
 
 
 def context(line: Column, at: Column) -> Column:
