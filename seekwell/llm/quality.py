@@ -1,8 +1,8 @@
 """Quality rules: distribution divergence from language references, after the counting rules that every text must pass.
 
 Histograms of character classes and of common words are compared with those of the text's language by Jensen-Shannon
-distance. The references are sums over all texts of a language that pass the counting rules. Texts shorter than a
-guard are not judged by distance, as their histograms are mostly noise. DataFrame functions only.
+distance. The references are sums over all texts of a language, as the corpus names it, that pass the counting rules;
+only languages with a list of common words have the second histogram. Texts shorter than a guard are not judged by distance, as their histograms are mostly noise. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekwell.functions.barrier import once
 from seekwell.session import materialize
 
 #: Frequent function words of each language.
@@ -32,12 +33,6 @@ MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.32, 0.235
 HELD = "__quality"
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row: a generator of one row keeps the optimiser from copying `value`
-    into each of its uses, some of which stand inside loops over arrays."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def words_of(text: Column) -> Column:
     """The words of a text in order."""
     trimmed = F.btrim(text, F.lit(SPACES))
@@ -82,12 +77,11 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lan
     df = once(df, "__6", F.regexp_replace("__5", r"[\x00-\x7F]+", ""))
     length = [F.length(text), *[F.length(f"__{i}") for i in range(1, 7)]]
     classes = F.array(*[(a - b).cast("bigint") for a, b in zip(length, length[1:])], length[-1].cast("bigint"))
-    share = lambda name: F.size(F.filter("__c", lambda x: x.isin(COMMON_WORDS[name])))
-    shares = F.greatest(*[F.struct(share(name).alias("n"), F.lit(name).alias("name")) for name in COMMON_WORDS])["name"]
-    named = F.col(f"`{lang_col}`") if lang_col in own else F.lit(None).cast("string")
-    df = once(df, "__r", F.when(named.isin(list(COMMON_WORDS)), named).otherwise(shares))
+    df = once(df, "__r", F.col(f"`{lang_col}`").cast("string") if lang_col in own else F.lit(None).cast("string"))
     lists = F.create_map(*[x for name, words in COMMON_WORDS.items() for x in (F.lit(name), F.array(*map(F.lit, words)))])
-    counted = F.transform(F.element_at(lists, F.col("__r")), lambda c: F.size(F.filter("__c", lambda x: x == c)).cast("bigint"))
+    unlisted = F.array(*[F.lit("") for _ in next(iter(COMMON_WORDS.values()))])  # no word is empty
+    listed = F.coalesce(F.element_at(lists, F.coalesce("__r", F.lit(""))), unlisted)
+    counted = F.transform(listed, lambda c: F.size(F.filter("__c", lambda x: x == c)).cast("bigint"))
     df = once(df, "__k", counted)
     rest = F.size(w).cast("bigint") - F.aggregate("__k", F.lit(0).cast("bigint"), lambda a, x: a + x)
     n_words = F.size(w).cast("bigint")
@@ -123,17 +117,18 @@ def judge(measured: DataFrame) -> DataFrame:
     held = F.col(HELD)
     summed = lambda field, n: F.array(*[F.sum(held[field][i]).cast("double") for i in range(n)])
     n_words = len(next(iter(COMMON_WORDS.values()))) + 1
-    references = (  # at most one row for each entry of COMMON_WORDS
-        measured.where(~held["base_failed"])
+    references = (  # a row per language; the planner broadcasts them if they are few
+        measured.where(~held["base_failed"] & held["reference"].isNotNull())
         .groupBy(held["reference"].alias("__r"))
         .agg(summed("classes", 7).alias("__classes"), summed("words", n_words).alias("__words"))
     )
     as_double = lambda h: F.transform(h, lambda x: x.cast("double"))
-    df = measured.join(F.broadcast(references), held["reference"] == F.col("__r"), "left")
+    df = measured.join(materialize(references), held["reference"] == F.col("__r"), "left")
+    listed = held["reference"].isin(list(COMMON_WORDS))
     df = df.withColumns(
         {
             "char_distance": F.when(held["n_chars"] >= CHARS_GUARD, distance(as_double(held["classes"]), F.col("__classes"))),
-            "word_distance": F.when(held["n_words"] >= WORDS_GUARD, distance(as_double(held["words"]), F.col("__words"))),
+            "word_distance": F.when(listed & (held["n_words"] >= WORDS_GUARD), distance(as_double(held["words"]), F.col("__words"))),
         }
     )
     far = (F.coalesce("char_distance", F.lit(0.0)) > MOST_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
@@ -143,19 +138,22 @@ def judge(measured: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: its id, the counts, base_failed, both distances and kept.
 
-    A null or empty text has no words and fails. The text is dropped before anything is written; the only shuffles are
-    of a few sums per language.
+    A null or empty text has no words and fails. A row without a language is judged by the counting rules alone, one
+    whose language has no list of common words also by its character classes; neither adds to another language's
+    reference. Repeated rows and null ids stay rows of their own, an empty table gives no rows, and of other columns
+    only `lang` is read, so their names can't clash. The text is dropped before anything is written; the only shuffles
+    are of a few sums per language.
     """
     named = ["lang"] if "lang" in docs.columns else []
     read = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *named)
     judged = judge(materialize(measure(read).select("__id", HELD)))
     counts = [F.col(HELD)[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
-    return judged.select(F.col("__id").alias(id_col), *counts, "kept", *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")])
+    return judged.select(F.col("__id").alias(id_col), *counts, "kept", "char_distance", "word_distance")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` that pass all rules, columns unchanged whatever their names. The rows are written once beside
-    their counts."""
+    """The rows of `docs` that pass all rules, columns unchanged whatever their names; repeated rows are judged alike and
+    an empty table stays empty. The rows are written once beside their counts."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     named = [F.col(f"`{lang_col}`").alias("lang")] if lang_col in docs.columns else []
     measured = measure(docs.select(row, F.col(f"`{text_col}`").alias("text"), *named)).select("__row", HELD)

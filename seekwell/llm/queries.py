@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seekwell.llm import bpe, langid, minhash, packing, pii, quality, secrets, sharding, token_counts, topk
 from seekwell.session import table
@@ -36,7 +37,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    judged = quality.verdicts(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

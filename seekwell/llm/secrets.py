@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekwell.functions.barrier import once
 from seekwell.llm.matches import NO_PLACES, places
-from seekwell.llm.quality import once
 from seekwell.session import materialize
 
 #: The base kinds in order, with their patterns, the group that holds the value and its least length.
@@ -24,6 +24,9 @@ KINDS = ("assign", "access", "hex", "live")
 GENERIC = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+"
 #: A value held by more owners or by more repositories than this is a copied example; a few copies of a document aren't.
 MOST_OWNERS, MOST_REPOSITORIES = 1, 16
+#: A value that holds more than this fraction's share of all candidates is joined by broadcast.
+HOT = 1024
+_COUNTS = ("n_owners", "n_repositories")
 #: Live-looking: letters and digits both, this many different characters, and none of the usual stand-ins.
 LEAST_CHARACTERS = 8
 STAND_IN = r"(?i)example|sample|dummy|change|placeholder|your|xxxx|1234567|0000000"
@@ -79,10 +82,21 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str) ->
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repositories) from rows of (hash, owner, repository), in steps that combine before each
+    """(hash, n_owners, n_repositories, n_rows) from rows of (hash, owner, repository), in steps that combine before each
     shuffle, so a value copied everywhere arrives as a row per owner."""
-    per_owner = found.distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    single = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("rows"))
+    per_owner = single.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    return per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"), F.sum("rows").alias("n_rows"))
+
+
+def _with_counts(valued: DataFrame, counts: DataFrame) -> DataFrame:
+    """`valued` with the counts of each row's hash. A hash that holds more than one row in HOT is one of at most HOT
+    such, so these counts are broadcast and no task gets all rows of a copied example; the others meet by shuffling."""
+    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    frequent = F.col("n_rows") * HOT > total
+    hot = F.broadcast(counts.where(frequent).select("hash", *_COUNTS))
+    rest = valued.join(hot, "hash", "left_anti").join(counts.where(~frequent).select("hash", *_COUNTS), "hash")
+    return valued.join(hot, "hash").unionByName(rest)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
@@ -91,15 +105,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     `spans` joins kind:start:end by start, then kind in the order of KINDS; `base_sha256` hashes those of the base
     kinds. n_examples counts places of live-looking values that more than
     MOST_OWNERS owners or MOST_REPOSITORIES repositories hold. A document is a repository
-    unless a column names it; a missing or null owner counts as one owner. A null text has no spans. Repeated ids stay
-    separate rows.
+    unless a column names it; a missing or null owner counts as one owner. A null or empty text has no spans. Repeated
+    rows and ids, and null ids, stay separate rows; equal places of several kinds are listed in the order of KINDS. An
+    empty table gives no rows. No other column of `docs` is read, so names can't clash.
     """
     repository = repository_col or id_col
     read = materialize(_candidates(docs, id_col, text_col, owner_col) if repository == id_col else _with_repository(docs, id_col, text_col, owner_col, repository))
     repo = F.col("repository") if repository != id_col else F.col("id")
     valued = read.select("uid", "owner", repo.cast("string").alias("repository"), F.explode("spans").alias("s")).where("s.hash IS NOT NULL")
     counts = materialize(ownership(valued.select(F.col("s.hash").alias("hash"), "owner", "repository")))
-    known = valued.select("uid", "s", F.col("s.hash").alias("hash")).join(counts, "hash")
+    known = _with_counts(valued.select("uid", "s", F.col("s.hash").alias("hash")), counts)
     own = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
     live = F.struct(F.col("s.from").alias("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("s.end").alias("end"))
     per_doc = known.groupBy("uid").agg(  # at most the spans of one text
