@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seekwell.functions.arrays import let, running_starts
+
 NO_PLACES = "array<struct<start:bigint,end:bigint,text:string,value:string>>"
 
 
@@ -24,14 +26,13 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
         lambda m, v: F.struct(m.alias("m"), v.alias("v")),
     )
-    pairs = F.zip_with(gaps(text, pattern), both, lambda g, b: F.struct(F.length(g).cast("bigint").alias("g"), b["m"].alias("m"), b["v"].alias("v")))
-    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    size = lambda x: F.coalesce(F.length(x).cast("bigint"), F.lit(0).cast("bigint"))
 
-    def step(s: Column, p: Column) -> Column:
-        start = s["at"] + p["g"]
-        end = start + F.coalesce(F.length(p["m"]).cast("bigint"), F.lit(0).cast("bigint"))
-        own = F.array(F.struct(start.alias("start"), end.alias("end"), p["m"].alias("text"), p["v"].alias("value")))
-        return state(end, F.when(p["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], own)))
+    def placed(pairs: Column) -> Column:
+        # What starts after a match and its gap ends the match before.
+        ends = F.slice(running_starts(F.zip_with(gaps(text, pattern), pairs, lambda g, p: size(g) + size(p["m"]))), 2, 1 << 30)
+        return F.zip_with(
+            pairs, ends, lambda p, end: F.struct((end - size(p["m"])).alias("start"), end.alias("end"), p["m"].alias("text"), p["v"].alias("value"))
+        )
 
-    none = F.array().cast(NO_PLACES)
-    return F.when(text.rlike(pattern), F.aggregate(pairs, state(F.lit(0).cast("bigint"), none), step, lambda s: s["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), let(both, placed)).otherwise(F.array().cast(NO_PLACES))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seekwell.llm import quality
+from seekwell.llm import quality, secrets
 
 _LISTS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in quality.COMMON_WORDS.items()) + "}"
 _P, _Q = "x[1] / list_sum({0})", "x[2] / list_sum({1})"
@@ -54,13 +54,13 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS
  c AS ({_places(0, _ASSIGN, 1, 'length(v) >= 12')} UNION ALL {_places(1, 'AKIA[A-Z0-9]+', 0, 'length(v) >= 18')}
   UNION ALL {_places(2, '[0-9a-f]+', 0, 'length(v) >= 16')} UNION ALL {_places(3, '[A-Za-z0-9+/_-]+', 0, 'length(v) >= 24')}),
  l AS (SELECT doc_id, source, stop - length(v) AS start, stop, v FROM c WHERE {_LIVE}),
- o AS (SELECT v, count(DISTINCT source) AS owners FROM l GROUP BY v),
- p AS (SELECT DISTINCT doc_id, start, stop, owners FROM l JOIN o USING (v)),
- a AS (SELECT doc_id, kind, start, stop FROM c WHERE kind < 3 UNION ALL SELECT doc_id, 3, start, stop FROM p WHERE owners <= 1),
+ o AS (SELECT v, count(DISTINCT source) > {secrets.MOST_OWNERS} OR count(DISTINCT (source, doc_id)) > {secrets.MOST_REPOSITORIES} AS example FROM l GROUP BY v),
+ p AS (SELECT DISTINCT doc_id, start, stop, example FROM l JOIN o USING (v)),
+ a AS (SELECT doc_id, kind, start, stop FROM c WHERE kind < 3 UNION ALL SELECT doc_id, 3, start, stop FROM p WHERE NOT example),
  b AS (SELECT doc_id, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, count_if(kind = 3) AS n_live,
   coalesce(string_agg({_KIND}, ',' ORDER BY start, kind, stop) FILTER (kind < 3), '') AS base, string_agg({_KIND}, ',' ORDER BY start, kind, stop) AS spans FROM a GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
- coalesce(n_live, 0) AS n_live, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id AND owners > 1) AS n_examples FROM d LEFT JOIN b USING (doc_id)"""
+ coalesce(n_live, 0) AS n_live, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id AND example) AS n_examples FROM d LEFT JOIN b USING (doc_id)"""
 
 OP10 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS v FROM embeddings
