@@ -29,28 +29,52 @@ EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-4
 #: Shares of a text are small numbers; this scale brings features near one.
 SCALE = 20.0
 TEXTS_AT_ONCE = 32
+#: Longer texts are counted in parts of so many characters; weights gathered at once, over all classes, are as many.
+PART, GATHERED = 1 << 18, 1 << 22
 #: Languages with fewer labelled texts than this aren't learned.
 LEAST_TEXTS = 2
 
 
+def cleaned(text: str) -> str:
+    """Lower case, runs of anything but letters as one space; empty if there is no letter."""
+    words = "".join([c if c.isalpha() else " " for c in text.lower()]) if not text.isascii() else text.lower().translate(_ASCII)
+    return " ".join(words.split())
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams of all texts (1 to LONGEST_GRAM code points, lower case, runs of anything but
-    letters as one space), and where each text's begin; texts without letters have none."""
-    cleaned = []
-    for text in texts:
-        words = "".join([c if c.isalpha() else " " for c in text.lower()]) if not text.isascii() else text.lower().translate(_ASCII)
-        cleaned.append(" ".join(words.split()))
-    lengths = np.array([len(t) + 2 if t else 0 for t in cleaned], np.int64)
-    points = np.frombuffer("".join(f" {t} " for t in cleaned if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    """Feature numbers of all n-grams of cleaned texts (1 to LONGEST_GRAM code points, a space on either side), and
+    where each text's begin; empty texts have none."""
+    lead = LONGEST_GRAM - 1  # spaces that grams may reach back into, so no gram sees the text before
+    lengths = np.array([len(t) + 2 if t else 0 for t in texts], np.int64)
+    points = np.frombuffer("".join(f"{' ' * lead} {t} " for t in texts if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     ends = np.cumsum(lengths)
     out = np.zeros((len(points), LONGEST_GRAM), np.int32)
     rolled = points.copy()
     for n in range(1, LONGEST_GRAM + 1):
-        if n > 1:  # the gram that ends here; at a text's start it reaches into the text before, which ends in a space
+        if n > 1:
             rolled[n - 1 :] = rolled[n - 1 :] + (points[: len(points) - n + 1] << np.uint64(21 * (n - 1)))
         spread = (rolled + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         out[:, n - 1] = (spread >> np.uint64(64 - 15)).astype(np.int32)
-    return out, ends - lengths
+    own = np.ones(len(points), bool)
+    some = np.flatnonzero(lengths)
+    first = (ends - lengths)[some] + lead * np.arange(len(some))
+    for k in range(lead):
+        own[first + k] = False
+    return out[own], ends - lengths
+
+
+def counted(text: str) -> tuple[np.ndarray, int]:
+    """How often each feature occurs in one cleaned text, and how many places it has; long texts go in parts, each
+    reading the end of the one before."""
+    counts, places, lead = np.zeros(BUCKETS), 0, LONGEST_GRAM - 1
+    padded = f" {text} "
+    for i in range(0, len(padded), PART):
+        # grams() adds a space to either side: those places are cut off, and what is reached back into is given.
+        part = padded[max(0, i - lead) : i + PART]
+        found = grams([part])[0][1 + min(i, lead) : -1]
+        counts += np.bincount(found.ravel(), minlength=BUCKETS)
+        places += len(found)
+    return counts, places
 
 
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
@@ -70,23 +94,33 @@ class Model:
         out = np.full((len(texts), len(self.classes)), np.nan)
         if not len(self.classes):
             return out
-        found, starts = grams(texts)
-        sizes = np.diff(np.append(starts, len(found)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            per_place = self.weights[found].sum(1)
-            sums = np.add.reduceat(per_place, starts[some], axis=0)
-            logits = (SCALE * sums / (LONGEST_GRAM * sizes[some, None]) + self.bias) / self.temperature
-            e = np.exp(logits - logits.max(1, keepdims=True))
-            out[some] = e / e.sum(1, keepdims=True)
+        clean = list(map(cleaned, texts))
+        most = min(PART, GATHERED // len(self.classes))
+        long = [i for i, t in enumerate(clean) if len(t) > most]
+        group: list[int] = []
+        for i in [*[i for i, t in enumerate(clean) if 0 < len(t) <= most], None]:
+            if group and (i is None or sum(len(clean[j]) for j in group) + len(clean[i]) > most):
+                found, starts = grams([clean[j] for j in group])
+                sums = np.add.reduceat(self.weights[found].sum(1), starts, axis=0)
+                out[group] = self._softmax(sums, np.diff(np.append(starts, len(found))))
+                group = []
+            group.append(i)
+        for i in long:
+            counts, places = counted(clean[i])
+            out[i] = self._softmax((counts @ self.weights)[None], np.array([places]))[0]
         return out
 
+    def _softmax(self, sums: np.ndarray, places: np.ndarray) -> np.ndarray:
+        logits = (SCALE * sums / (LONGEST_GRAM * places[:, None]) + self.bias) / self.temperature
+        e = np.exp(logits - logits.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
 
 def _sparse(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Features of each text with their scaled shares, a few texts at a time."""
     rows = []
     for k in range(0, len(texts), TEXTS_AT_ONCE):
-        found, starts = grams(texts[k : k + TEXTS_AT_ONCE])
+        found, starts = grams(list(map(cleaned, texts[k : k + TEXTS_AT_ONCE])))
         for i, j in zip(starts, np.append(starts[1:], len(found))):
             ids, n = np.unique(found[i:j], return_counts=True)
             rows.append((ids, (SCALE * n / max(1, n.sum())).astype(np.float32)))
@@ -189,40 +223,46 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     names = np.array([*model.classes, "und"], object)
     for keys, texts in by_bytes(batches, 1 << 20):
         p = model.probabilities(texts)
-        known = ~np.isnan(p).any(1) if p.shape[1] else np.zeros(len(texts), bool)
-        best = np.full(len(texts), len(model.classes))
-        best[known] = p[known].argmax(1)
-        score = np.zeros(len(texts))
-        score[known] = p[known].max(1)
+        best, score = np.full(len(texts), len(model.classes)), np.zeros(len(texts))
+        if model.classes:
+            known = ~np.isnan(p).any(1)
+            best[known], score[known] = p[known].argmax(1), p[known].max(1)
         yield pa.record_batch([keys, pa.array(names[best], pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row; `und` with score 0 if the text is null or has no letter, or nothing was
-    learned. The model travels with the tasks: its size is fixed by BUCKETS and the number of languages."""
+    learned. Ties go to the first language in order. Repeated rows and null ids are rows of their own, an empty table
+    gives none, and no other column is read. The model's size is fixed by BUCKETS and the number of languages; Spark
+    broadcasts it if it is over a megabyte. A long text is counted in parts, so memory doesn't grow with it."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     read = small_batches(ids_and_texts(docs, id_col, text_col))
     return read.mapInArrow(partial(_predict, model), schema).withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fit on two folds and predict every row: id, held_out, lang_pred, score (the calibrated probability)."""
+    """Fit on two folds and predict every row: id, held_out, lang_pred, score (the calibrated probability).
+
+    A row without an id is neither held out nor learned from. Null texts, empty tables and the rest: see `predict`.
+    """
     model = fit(docs, id_col, text_col, lang_col)
-    return predict(docs, model, id_col, text_col).select(id_col, (fold(id_col) == 1).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out")
+    return predict(docs, model, id_col, text_col).select(id_col, held_out, "lang_pred", "score")
 
 
-def _filter(model: Model, least: float, names: list[str], text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _filter(model: Model, least: float, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
-        p = model.probabilities(texts)
-        good = np.nan_to_num(p, nan=0.0).max(1, initial=0.0) >= least
+        if model.classes:
+            good = np.nan_to_num(model.probabilities(texts), nan=0.0).max(1) >= least
+        else:
+            good = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         yield batch.filter(pa.array(good))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` whose language is told with a probability of `least` or more, columns unchanged."""
+    """The rows of `docs` whose language is told with a probability of `least` or more, columns unchanged whatever their
+    names. A text without a letter, or null, has the probability 0. Where nothing could be learned there are no
+    probabilities, and only such texts go."""
     model = fit(docs, id_col, text_col, lang_col)
-    if not model.classes:
-        return docs
-    names = docs.columns
-    return small_batches(docs).mapInArrow(partial(_filter, model, least, names, names.index(text_col)), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_filter, model, least, docs.columns.index(text_col)), docs.schema)
