@@ -6,21 +6,24 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that Spark hands to Python at once; a batch of long texts stays far below an executor's memory.
-ROWS_AT_ONCE = 500
+#: Rows, and bytes, that Spark hands to Python at once; a batch of long texts stays far below an executor's memory.
+ROWS_AT_ONCE, BYTES_HANDED = 500, 8 << 20
 #: UTF-8 bytes that a Python operator works on at once.
 BYTES_AT_ONCE = 1 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Ask for batches of at most ROWS_AT_ONCE rows (a session setting that changes no result)."""
+    """Ask for batches of at most ROWS_AT_ONCE rows and about BYTES_HANDED bytes (session settings that change no
+    result)."""
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= ROWS_AT_ONCE:
-        conf.set(key, str(ROWS_AT_ONCE))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_HANDED)):
+        now = str(conf.get(key)).rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -34,11 +37,11 @@ def by_bytes(batches: Iterator[pa.RecordBatch], at_once: int = BYTES_AT_ONCE) ->
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         start = held = 0
-        for i, text in enumerate(texts):
-            if held and held + len(text) > at_once:
+        for i, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+            if held and held + size > at_once:
                 yield ids.slice(start, i - start), texts[start:i]
                 start, held = i, 0
-            held += len(text)
+            held += size
         if start < len(texts):
             yield ids.slice(start), texts[start:]
 
