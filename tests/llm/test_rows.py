@@ -306,6 +306,71 @@ def test_op8(spark, sf_dir, odd_docs, no_docs):
     assert langid.identify(no_docs).isEmpty()
     assert langid.keep_identified(odd_docs, 0.0).columns == odd_docs.columns
     assert langid.keep_identified(no_docs).isEmpty()
+    assert odd[None].held_out is False
+
+
+def test_op8_without_labels(spark):
+    """Nothing to learn from: every text is `und`, and only texts without letters go."""
+    df = spark.createDataFrame([(i, "abc def" if i % 2 else "12", None) for i in range(30)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in langid.identify(df).collect()} == {("und", 0.0)}
+    assert {r.text for r in langid.keep_identified(df).collect()} == {"abc def"}
+
+
+def test_op8_long_texts_in_parts(monkeypatch):
+    text = langid.cleaned("The quick brown fox, jumping over 12 lazy dogs. " * 9)
+    places, starts = langid.grams([text, "", "abc", text])
+    n = np.diff(np.append(starts, len(places)))
+    assert n[0] == len(text) + 2 and n[1] == 0 and (places[: n[0]] == places[starts[3] :]).all()  # neighbours don't matter
+    monkeypatch.setattr(langid, "PART", 50)
+    counts, total = langid.counted(text)
+    assert total == n[0] and (counts == np.bincount(places[: n[0]].ravel(), minlength=langid.BUCKETS)).all()
+
+
+def test_op8_trains_as_plain_python_does():
+    """Follow the regularised leader, weight by weight, over the same texts in the same order."""
+    texts = [f"{a} {b} {c}" for a in ("the cat", "and dog") for b in ("of all", "with it") for c in ("here", "there")] + ["der hund", "und die katze", "mit allen", "das ist es"] * 2
+    labels = ["en"] * 8 + ["de"] * 8
+    held = np.array([i % 5 == 4 for i in range(16)])
+    model = langid.train(texts, labels, held)
+    fit = [i for i in range(16) if not held[i]]
+    shares = []
+    for text in texts:
+        seen = Counter(langid.grams([langid.cleaned(text)])[0].ravel().tolist())
+        shares.append({g: langid.SCALE * c / sum(seen.values()) for g, c in seen.items()})
+    df = Counter(g for i in fit for g in shares[i])
+    idf = lambda g: np.log((1 + len(fit)) / (1 + df[g])) + 1
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def weight(key):
+        zi = z.get(key, 0.0)
+        return -np.sign(zi) * max(abs(zi) - langid.L1, 0) / ((langid.BETA + n.get(key, 0.0) ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(fit):
+            x = {g: v * idf(g) for g, v in shares[i].items()}
+            logits = [bias[k] + sum(v * weight((g, k)) for g, v in x.items()) for k in (0, 1)]
+            e = np.exp(np.array(logits) - max(logits))
+            p = e / e.sum() - (np.arange(2) == ["de", "en"].index(labels[i]))
+            for key, g in {(g, k): v * p[k] for g, v in x.items() for k in (0, 1)}.items():
+                w, before = weight(key), n.get(key, 0.0)
+                z[key] = z.get(key, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / langid.ALPHA * w
+                n[key] = before + g * g
+            bias = [b - 0.05 * q for b, q in zip(bias, p)]
+    assert model.classes == ["de", "en"] and np.allclose(model.bias, bias, atol=1e-5)
+    for g in df:
+        assert np.allclose(model.weights[g], [weight((g, k)) * idf(g) for k in (0, 1)], atol=1e-3)
+    # The temperature is the best of those tried, on the texts held back.
+    def loss(t):
+        total = 0.0
+        for i in np.flatnonzero(held):
+            logit = np.array([bias[k] + sum(v * idf(g) * weight((g, k)) for g, v in shares[i].items()) for k in (0, 1)]) / t
+            log_p = logit - np.log(np.exp(logit - logit.max()).sum()) - logit.max()
+            slack, right = 1 / (held.sum() + 2), ["de", "en"].index(labels[i])
+            total -= (1 - slack) * log_p[right] + slack * log_p[1 - right]
+        return total
+
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.05, 20, 121))) + 1e-4
 
 
 def test_op8_never_reads_the_answer(spark, sf_dir):
@@ -389,6 +454,37 @@ def test_op10_ties_and_large_values(spark):
     check_topk(spark, [(i, [float(x) for x in rng.integers(-90_000, 90_000, 4)]) for i in range(120)])
 
 
+def test_op10_overlarge_components(spark):
+    """Components of any size take part; scores that no long can hold are ranked by their true values."""
+    rng = np.random.default_rng(1)
+    check_topk(spark, [(i, [float(x) for x in rng.integers(-3_000_000, 3_000_000, 4)]) for i in range(120)])
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [2e30, 0.0]), (3, [-1e30, 0.0]), (50, [0.0, 2.0e6]), (4, [3.0, 2.0e6])]
+    want = [(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in brute(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df).collect())) == want
+
+
+def test_op10_waves(spark, monkeypatch):
+    """Several segments, blocks and waves give what one does; repeated queries and lengths that differ too."""
+    monkeypatch.setattr(topk, "GROUP_COMPONENTS", 64 * 8)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(900, 8)) * rng.lognormal(sigma=1.0, size=(900, 1))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    check_topk(spark, rows + [(2000 + i, v[:5]) for i, v in rows[:200]])
+
+
+def test_op10_leaves_out_rows_that_cannot_win():
+    """In directions that agree, a query with a bound from earlier waves scores few rows, or none."""
+    rng = np.random.default_rng(0)
+    rows = np.floor(256 * rng.lognormal(size=(4096, 1)) * np.abs(rng.normal(1, 0.05, (4096, 4))))
+    ids, queries = np.arange(4096), rows[:50]
+    found, scored = topk.search_block(rows, ids, queries, list(range(50)), [None] * 50, 5)
+    assert scored < 0.1 * 50 * 4096
+    for q, own, hits in zip(queries, range(50), found):
+        assert hits == sorted(((int(s), i) for i, s in enumerate(rows @ q) if i != own), key=lambda x: (-x[0], x[1]))[:5]
+    assert topk.search_block(rows, ids, queries, list(range(50)), [10**15] * 50, 5) == ([[]] * 50, 0)
+
+
 def test_threshold_stops_early():
     rows = np.zeros((5000, 2))
     rows[:, 0] = np.arange(5000)
