@@ -419,6 +419,33 @@ def test_op9(spark, sf_dir, odd_docs, no_docs):
     assert sharding.shard_documents(odd_docs.select("doc_id", "text")).count() == odd_docs.count()
 
 
+def test_op9_files_are_pruned(spark, tmp_path):
+    """Two dimensions that have nothing to do with each other: a filter on either leaves out most files."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.concat("id", F.repeat(F.lit("x"), (F.xxhash64("id") % 50 + 60).cast("int"))).alias("text"),
+        F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), F.pmod(F.hash("id"), F.lit(4)) + 1).alias("lang"),
+        F.concat(F.lit("s"), F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(20)).cast("string")).alias("source"),
+    )
+    placed = sharding.shard_documents(df, carry=("lang", "source")).cache()
+    touched = lambda c: [r.shards for r in sharding.shards_touched(placed, c).collect()]
+    assert len(touched("lang")) == 4 and np.mean(touched("lang")) <= 12 and len(touched("source")) == 20 and np.mean(touched("source")) <= 12
+    sharding.write_shards(df, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(back.select(df.columns).collect()) == sorted(df.collect())
+    assert [r["count"] for r in back.groupBy("__shard").count().orderBy("__shard").collect()] == [167] * 16 + [166] * 8
+
+
+def test_op9_bins(spark):
+    rows = [("a", 50), ("b", 1), ("c", 30), (None, 5), ("d", 1)]
+    df = spark.createDataFrame([(v,) for v, n in rows for _ in range(n)], "v string")
+    assert sharding.quantile_bins(df, "v") == [("b", 4), ("c", 8), ("d", 12)]
+    many = sharding.quantile_bins(spark.range(1600), "id")
+    assert len(many) == 15 and all(abs(x - 100 * (i + 1)) <= 1 for i, (x, _) in enumerate(many)) and [b for _, b in many] == list(range(1, 16))
+    assert sharding.quantile_bins(df.where("false"), "v") == []
+
+
 # ---- top-k ----------------------------------------------------------------------------------------------------------
 def brute(rows, k=5, every=50):
     usable = []
