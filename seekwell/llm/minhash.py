@@ -34,6 +34,8 @@ KEYS = CHUNKS * SLOTS
 HUBS = 4
 #: Differing slots beyond which a pair isn't confirmed: 5.5 standard deviations above the mean at similarity 0.8.
 FARTHEST = 33
+#: Rows of a bucket that one task compares with as many others.
+BLOCK_ROWS = 2048
 _MULTIPLIERS = mix(np.arange(1, CHUNKS * SLOTS + 1, dtype=U)) | U(1)
 
 
@@ -135,7 +137,8 @@ def most_common(n: Column, m: Column, a: Column, b: Column) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The links among pairs (u, v), checked on the sets of whole texts. Texts are joined by shuffling at any size."""
+    """The links among pairs (u, v), checked on the sets of whole texts. Texts are joined by shuffling at any size; a hub
+    with very many pairs makes a partition that adaptive execution splits."""
     side = lambda name, text: texts.select(F.col("id").alias(name), F.col("text").alias(text)).hint("merge")
     rows = small_batches(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b"))
     return materialize(rows.mapInArrow(partial(_alike, percent, width), "u long, v long"))
@@ -167,15 +170,16 @@ def _ordered(u: Column, v: Column) -> list[Column]:
 
 
 def _open_rows(buckets: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold several components, with the largest of these."""
+    """Rows of the buckets that still hold several components, with the largest of these and the number of blocks that
+    a bucket is dealt into."""
     placed = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
         placed.groupBy("key", "component")
         .agg(F.count("*").alias("size"))
         .groupBy("key")
-        .agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
+        .agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("rows"))
         .where("parts > 1")
-        .select("key", "largest")
+        .select("key", "largest", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
     )
     return materialize(placed.join(materialize(mixed), "key").join(classes.select("id", "n", "sig"), "id"))
 
@@ -194,10 +198,18 @@ def _to_hubs(rows: DataFrame) -> DataFrame:
 
 def _crossing(rows: DataFrame, percent: int) -> DataFrame:
     """Every pair in a bucket whose components differ, sizes, signatures and bitmaps allowing a link. One of the two is outside
-    the bucket's largest component, so the rows of that component aren't compared with each other."""
-    side = lambda name: rows.select(
-        F.col("key").alias(f"key_{name}"), *[F.col(x).alias(f"{x}_{name}") for x in ("id", "component", "n", "sig", "bits")], *(["largest"] if name == "u" else [])
-    )
+    the bucket's largest component, so the rows of that component aren't compared with each other. A bucket of many rows
+    is a grid of blocks: a task compares two blocks, however many texts share a key without being linked."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(name: str) -> DataFrame:
+        at = {"u": (own, every), "v": (every, own)}[name]
+        return rows.select(
+            F.col("key").alias(f"key_{name}"), at[0].alias(f"row_{name}"), at[1].alias(f"column_{name}"),
+            *[F.col(x).alias(f"{x}_{name}") for x in ("id", "component", "n", "sig", "bits")], *(["largest"] if name == "u" else []),
+        )
+
     errors = _apart(F.col("sig_u"), F.col("sig_v"))
     # Each pair once: in its first chunk that fits, and there at the first blank if no slot differs. The key's low bits
     # tell the chunk and the blank.
@@ -217,7 +229,8 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
         & (bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
     )
     u, v = side("u").where("component_u <> largest"), side("v")
-    return u.join(v, (F.col("key_u") == F.col("key_v")) & wanted).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    met = (F.col("key_u") == F.col("key_v")) & (F.col("row_u") == F.col("row_v")) & (F.col("column_u") == F.col("column_v"))
+    return u.join(v, met & wanted).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,8 +238,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two texts are linked if 100 * intersection >= `percent` * union of their sets of `width`-word shingles. A text
     with fewer words has one shingle of all its words; one without words, or null, has none and is linked with
-    nothing. Ids are integers that name a text; rows that repeat one must be equal. Rows without an id are kept, in no
-    component.
+    nothing. Ids are integers that name a text; rows that repeat one must be equal, and each is returned. Rows without
+    an id are kept, in no component. An empty table gives no rows; no other column of `docs` is read, so names can't
+    clash. A text is hashed whole, with memory in proportion to the longest one.
     """
     read = ids_and_texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint"))
     signed = materialize(small_batches(read).mapInArrow(partial(_sign, width), "id long, n long, h1 long, h2 long, sig array<long>"))

@@ -161,6 +161,53 @@ def test_op6(spark, odd_docs, no_docs):
     assert sorted(pii.replace(odd_docs).columns) == sorted(odd_docs.columns)
 
 
+def luhn_ok(number):
+    digits = [int(c) for c in reversed(number) if c.isdigit()]
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def iban_ok(text):
+    text = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def test_op6_formats_scripts_and_persons(spark):
+    texts = [
+        "Dr. Jane Doe met Mrs. Doe, Prof. Xaver Doe and John Smith.", "card 4111 1111 1111 1111 not 4111-1111-1111-1112", "DE89 3704 0044 0532 0130 00 / GB82WEST12345698765432 / DE00 3704 0044 0532 0130 00",
+        "Κύριος Παπαδόπουλος, Mr. 张伟, Господин Иванов и Госпожа Иванова", "06 12 34 56 78", "2001:db8:0:0:0:0:0:1 and FE80::1ff:fe23 at 12:30:45", "Ann a@first.org b@first.org c@second.org",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sorted(pii.replace(df).collect())]
+    jane, mrs, xaver, john = re.fullmatch(r"Dr\. (\w+ \w+) met Mrs\. (\w+), Prof\. (\w+ \w+) and (\w+ \w+)\.", got[0]).groups()
+    assert jane.split()[1] == mrs == xaver.split()[1] != john.split()[1] and jane.split()[0] != xaver.split()[0]
+    assert jane.split()[0] in pii.GIVEN["f", "latin"] and jane.split()[0] != "Jane" and john.split()[0] in pii.GIVEN["m", "latin"]
+    valid, other = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) not (\d{4}-\d{4}-\d{4}-\d{4})", got[1]).groups()
+    assert luhn_ok(valid) and "1111" not in valid and other != "4111-1111-1111-1112"
+    one, two, three = got[2].split(" / ")
+    assert iban_ok(one) and iban_ok(two) and not iban_ok(three) and one[:2] == "DE" and two[:2] == "GB" and [len(x) for x in (one, two, three)] == [len(x) for x in texts[2].split(" / ")]
+    greek, han, ivanov, ivanova = re.fullmatch(r"Κύριος ([Α-Ωα-ωά-ώ]+), Mr\. (\w{2}), Господин (\w+) и Госпожа (\w+)", got[3]).groups()
+    assert re.fullmatch(r"[\u4e00-\u9fff]{2}", han) and ivanova == ivanov + "а" and re.fullmatch("[А-я]+ов", ivanov)
+    assert re.fullmatch(r"\d\d( \d\d){4}", got[4]) and got[4] != texts[4]
+    assert re.fullmatch(r"[0-9a-f:]+ and [0-9A-Fa-f]{4}::[0-9a-f]{3}:[a-f]{2}\d\d at 12:30:45", got[5]) and "2001:db8" not in got[5]
+    a, b, c = re.findall(r"\S+@(\S+)", got[6])
+    assert a == b != c and got[6].startswith("Ann ")
+
+
+def test_op6_key_is_secret(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "mail somebody.long@example.org")], "doc_id long, text string")
+    text = lambda: pii.replace(df).first().text
+    first = text()
+    assert first == text()  # one session, one key
+    drawn = spark.conf.get(pii.KEY_SETTING)
+    assert len(drawn) == 64
+    spark.conf.set(pii.KEY_SETTING, "chosen")
+    assert text() == pii.replace(df, key="chosen").first().text != first
+    spark.conf.unset(pii.KEY_SETTING)
+    monkeypatch.setenv(pii.KEY_VARIABLE, "chosen too")
+    assert text() == pii.replace(df, key="chosen too").first().text
+    spark.conf.set(pii.KEY_SETTING, drawn)
+
+
 def test_op6_distinct_where_surrogates_collide(spark, monkeypatch):
     """With names from a space of four, every person still gets a name of their own."""
     monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "co"])
@@ -239,6 +286,14 @@ def test_op7_chains_and_crowds(spark):
     check_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_op7_crowds_in_blocks(spark, monkeypatch):
+    """Texts that share most of their words without being linked, in buckets that are dealt into many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base + [f"u{i}_{k}" for k in range(60 + i % 3)])) for i in range(90)] + [(200 + i, " ".join(base + [f"v{k}" for k in range(i)])) for i in range(6)]
+    check_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+
+
 @given(st.sets(st.integers(0, 2**63), min_size=1, max_size=80), st.sets(st.integers(0, 2**63), max_size=80))
 @settings(max_examples=30, deadline=None)
 def test_bitmaps_never_hide_a_link(a, b):
