@@ -13,6 +13,8 @@ TABLES = (
 ).split()
 
 
+#: The key of surrogates in local sessions, so results there can be repeated. It is no secret: name another for real data.
+LOCAL_KEY = "seekwell"
 #: Plans are kept as text for monitoring; of wide expressions that would be many megabytes in the driver.
 PLAN_TEXT = "spark.sql.maxPlanStringLength"
 
@@ -28,6 +30,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.seekwell.pii.key", LOCAL_KEY)
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
