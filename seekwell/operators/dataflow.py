@@ -7,9 +7,11 @@ functions can say the same they are faster; these take Python functions for what
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell.functions.text import java_hash
@@ -70,9 +72,25 @@ def to_first(df: DataFrame) -> DataFrame:
     return df.coalesce(1)
 
 
-def to_all(df: DataFrame) -> DataFrame:
-    """A copy of every row on every executor, for joins; only for tables that are small."""
-    return F.broadcast(df)
+def to_all(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A copy of every row on every executor, for joins. A table of more than `most` rows isn't copied: joins with it
+    shuffle then."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def run_jobs(spark: SparkSession, jobs: dict[str, Callable[[], object]], at_once: int = 4) -> dict[str, object]:
+    """Run several jobs side by side, each in a scheduler pool of its own name; with spark.scheduler.mode=FAIR they share
+    the executors. Returns what each gives, or the exception that it raised."""
+
+    def run(name: str) -> object:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return jobs[name]()
+        except Exception as failed:  # one job's failure doesn't end the others
+            return failed
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(jobs, pool.map(inheritable_thread_target(run), jobs)))
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -53,7 +53,7 @@ def total_scores(features: DataFrame, weights: DataFrame, id_col: str = "doc_id"
 
     Weights (name, coeff, use_log) are few rows; features without one add nothing, repeated ones add twice.
     """
-    rows = features.select(id_col, F.explode("features").alias("name", "f")).join(weights.hint("broadcast"), "name", "left")
+    rows = features.select(id_col, F.explode("features").alias("name", "f")).join(weights, "name", "left")
     value = F.when(F.col("use_log"), safe_ln(F.col("f"))).otherwise(F.col("f"))
     return rows.groupBy(id_col).agg(F.sum(F.coalesce(F.col("coeff") * value, F.lit(0.0))).alias("total_score"))
 

@@ -132,16 +132,21 @@ def outcome_counts(spark, d):
 @query("""SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k, to_json({'type': event_type, 'id': event_id})::varchar AS message FROM events""")
 def queue_messages(spark, d):
     """Messages out as JSON and their fields in."""
-    events = table(spark, d, "events")
-    message = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id")))
-    return events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), message.alias("message"))
+    from seekwell.sources.io import to_messages
+
+    out = F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id")).alias("m")
+    events = table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), out)
+    sent = to_messages(events.select("m.*")).select(F.col("value").alias("message"), F.get_json_object("value", "$.id").cast("bigint").alias("event_id"))
+    return events.select("event_id", "k").join(sent, "event_id")
 
 
 @query("""SELECT name, coalesce(value, 0) AS value FROM (SELECT unnest(['spellcheck_top', 'none']) AS name) LEFT JOIN (SELECT 'spellcheck_top' AS name, 50 AS value) USING (name)""")
 def config_values(spark, d):
+    from seekwell.sources.io import config_value
+
     stored = spark.createDataFrame([("spellcheck_top", 50)], "name string, value int")
-    names = spark.createDataFrame([("spellcheck_top",), ("none",)], "name string")
-    return names.join(stored, "name", "left").select("name", F.coalesce("value", F.lit(0)).alias("value"))
+    one = lambda name: config_value(stored, name).select(F.lit(name).alias("name"), "value")
+    return one("spellcheck_top").unionByName(one("none"))
 
 
 @query("""SELECT user_id, keyword, sum(n)::bigint AS n FROM (SELECT user_id, event_type AS keyword, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2
@@ -208,3 +213,31 @@ def store_statistics(spark, d):
     from seekwell.sources.io import stored_statistics
 
     return stored_statistics(english_words(spark, d))[0]
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS doc_id FROM events""")
+def url_sync(spark, d):
+    """Ids of links by URL; those of unknown URLs are -1."""
+    from seekwell.sources.io import with_doc_ids
+
+    url = F.concat(F.lit("http://h/"), F.col("user_id").cast("string"))
+    events = table(spark, d, "events")
+    known = events.where("user_id % 3 <> 0").select(url.alias("url"), F.col("user_id").alias("doc_id")).distinct()
+    return with_doc_ids(events.select("event_id", url.alias("url")), known).select("event_id", "doc_id")
+
+
+@query("""SELECT event_id FROM events WHERE event_type IN ('view', 'click')""")
+def mime_filter(spark, d):
+    """Answers that are HTML, whatever the case and parameters of their type."""
+    kind = F.when(F.col("event_type") == "view", "text/html").when(F.col("event_type") == "click", " Text/HTML; charset=utf-8").otherwise("application/pdf")
+    return table(spark, d, "events").withColumn("content_type", kind).where(crawl.is_html(F.col("content_type"))).select("event_id")
+
+
+@query("""SELECT event_type, count(*) AS n, 1 AS tasks FROM events GROUP BY 1""")
+def routed_rows(spark, d):
+    """Rows dealt in turn, by their fields and to the first executor: all arrive, and those with equal fields in one task."""
+    from seekwell.operators import dataflow
+
+    events = table(spark, d, "events").select("event_id", "event_type")
+    routed = dataflow.by_fields(dataflow.shuffle(events, 5), 3, "event_type").withColumn("task", F.spark_partition_id())
+    return dataflow.to_first(routed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("task").cast("int").alias("tasks")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seekwell.functions import text as X
-from seekwell.operators import dataflow, index
+from seekwell.operators import dataflow, index, store
 from seekwell.operators.ranking import global_rank
 from seekwell.plans.registry import query
 from seekwell.session import table
@@ -23,6 +23,11 @@ def english_words(spark, d):
     return index.doc_words(index.document_tokens(table(spark, d, "documents").where("lang = 'en'")))
 
 
+def english_index(spark, d):
+    """The stored index of the English documents."""
+    return store.stored(spark, f"{d}/documents.parquet", lambda: english_words(spark, d))
+
+
 @query(r"""SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(regexp_replace(text, '\s+$', ''), '\s+')) AS word
  FROM documents WHERE length(text) > 0) GROUP BY word""")
 def word_count(spark, d):
@@ -138,8 +143,10 @@ def tsv_export(spark, d):
 
 @query("SELECT source, max_by(doc_id, doc_id) AS doc_id, max_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
 def last_per_key(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupBy("source").agg(F.max_by("doc_id", "doc_id").alias("doc_id"), F.max_by("n_chars", "doc_id").alias("n_chars"))
+    from seekwell.operators.ranking import last_per
+
+    rows = table(spark, d, "documents").select("source", "doc_id", F.struct("doc_id", "n_chars").alias("row"))
+    return last_per(rows, "source", "row", "doc_id").select("source", "row.*")
 
 
 @query("""SELECT word AS key, sum(n)::varchar AS value FROM (SELECT lang AS word, 1 AS n FROM documents) GROUP BY word""")

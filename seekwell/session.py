@@ -57,12 +57,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` once as parquet in the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     if int(spark.conf.get(PLAN_TEXT, "2147483632")) > 50_000:
         spark.conf.set(PLAN_TEXT, "50000")
-    path = f"{shared_dir(spark)}/seekwell-{uuid.uuid4().hex}"
+    path = new_folder(spark, "seekwell")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

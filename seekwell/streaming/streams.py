@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seekwell import schemas
-from seekwell.session import shared_dir
+from seekwell.session import new_folder
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_at_once: int = 100) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, name: str | None = "events.parquet", files_at_once: int = 100) -> DataFrame:
     """A file source over parquet files; at most `files_at_once` per trigger (back-pressure). `ts` becomes a timestamp,
     as watermarks need one."""
-    reader = spark.readStream.schema(schemas.EVENT).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_at_once)
+    reader = spark.readStream.schema(schemas.EVENT).option("maxFilesPerTrigger", files_at_once)
+    reader = reader.option("pathGlobFilter", name) if name else reader
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -25,7 +25,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFram
     """Process what is available and stop. Results are parquet in the shared folder; for the modes `complete` and
     `update` each batch overwrites or appends, and for `each` the function writes."""
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    home = new_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{home}/state")
     if each is not None:
         writer.foreachBatch(each).start().awaitTermination()
@@ -110,13 +110,29 @@ def cached(stream: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
     )
 
 
-def progress(stream: DataFrame, worker: str, target: int, on_reached: Callable[[int], None]) -> None:
-    """Sum what all workers report; once the sum reaches `target`, tell it and let the batch end."""
-    total = 0
+def in_files(table: DataFrame, folder: str, parts: int, time: str = "ts") -> str:
+    """Write a table as `parts` files that follow each other in time, one after the other, so a file stream with one
+    file per trigger sees as many batches. Returns the folder."""
+    ends = table.agg(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bucket = sum((F.when(F.unix_micros(F.col(time).cast("timestamp")) > end, 1).otherwise(0) for end in ends), F.lit(0))
+    for i in range(parts):
+        table.where(bucket == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
-    def add(batch: DataFrame, _: int) -> None:
-        nonlocal total
-        total += batch.groupBy(worker).count().agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+
+def batch_totals(batch: DataFrame, number: int, folder: str) -> None:
+    """Write a batch's rows under its number: a batch that is run again after a failure replaces what it wrote."""
+    batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+
+def progress(stream: DataFrame, worker: str, target: int, on_reached: Callable[[int], None], folder: str | None = None) -> None:
+    """Sum what all workers report; once the sum reaches `target`, tell it and let the batch end. Reports are kept in
+    `folder` by batch, so a restarted stream goes on from where it was and no replayed batch counts twice."""
+    folder = folder or new_folder(stream.sparkSession, "progress")
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch_totals(batch.groupBy(F.col(worker).alias("worker")).count(), number, folder)
+        total = batch.sparkSession.read.parquet(folder).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
         if total >= target:
             on_reached(total)
 
@@ -124,8 +140,9 @@ def progress(stream: DataFrame, worker: str, target: int, on_reached: Callable[[
 
 
 def merged_index(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per key accumulated over batches: each batch's counts are appended, and the sum over them is the index."""
+    """Counts per key accumulated over batches: each batch's counts are kept under its number, so a replayed batch
+    replaces its own, and the sum over them is the index."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    run_to_end(stream, each=lambda batch, _: batch.groupBy(*keys).agg(F.count("*").alias("tf")).write.mode("append").parquet(path))
+    path = new_folder(spark, "index")
+    run_to_end(stream, each=lambda batch, number: batch_totals(batch.groupBy(*keys).agg(F.count("*").alias("tf")), number, path))
     return spark.read.parquet(path).groupBy(*keys).agg(F.sum("tf").alias("tf"))
