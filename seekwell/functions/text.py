@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seekwell.functions.arrays import running_starts
+from seekwell.functions.arrays import let, running_starts
 
 #: Words of letters and digits; punctuation marks are tokens of their own.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -27,6 +27,21 @@ def token_spans(text: Column, pattern: str = TOKEN) -> Column:
     return F.zip_with(words, ends, lambda w, end: F.struct(w.alias("w"), (end - F.length(w)).cast("int").alias("at")))
 
 
+def word_counts(words: Column) -> Column:
+    """array<struct<w, tf, norm, first>> of an array of words: each word once, in order, with its count; all with the sum of
+    the squared counts; the first is marked. Equal words are runs of the sorted array, so steps are those of a sort."""
+
+    def runs(s: Column) -> Column:
+        at = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(at, lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("bigint").alias("tf"))))
+
+    def marked(c: Column) -> Column:
+        norm = F.aggregate(c, F.lit(0.0), lambda a, x: a + x["tf"].cast("double") * x["tf"])
+        return let(norm, lambda n: F.transform(c, lambda x, k: F.struct(x["w"].alias("w"), x["tf"].alias("tf"), n.alias("norm"), (k == 0).alias("first"))))
+
+    return let(let(F.sort_array(words), runs), marked)
+
+
 def context(line: Column, at: Column) -> Column:
     """The 200 characters around a token, from 50 before it, with marks where the line goes on."""
     begin = F.greatest(at - CONTEXT_BEFORE, F.lit(0))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekwell.functions import html as H
 from seekwell.functions import text as X
 from seekwell.functions import url as U
 from seekwell.functions.barrier import once
+from seekwell.session import materialize
+
+#: Rows that a broadcast table of ids or words holds at most.
+BROADCAST_ROWS = 200_000
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
@@ -81,10 +85,41 @@ def doc_words(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
 
 
+def document_words(docs: DataFrame, words: Column | None = None) -> DataFrame:
+    """(doc_id, w, tf, norm, first): how often each word of a document occurs, the sum of its squared counts, and whether
+    it is the document's least word (of documents with an id).
+
+    Counted inside the rows, without a shuffle; only rows that share their id meet by words. Which ids these are is found
+    at once, from the ids alone."""
+    tokens = X.tokens(F.lower("text"), X.WORD) if words is None else words
+    shared = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    n = shared.count()
+    alone = docs
+    if n:
+        shared = materialize(shared)
+        shared, same = F.broadcast(shared) if n <= BROADCAST_ROWS else shared, F.col("doc_id").eqNullSafe(F.col("__id"))
+        alone = docs.join(shared, same, "left_anti")
+    out = alone.select("doc_id", F.inline(X.word_counts(tokens))).withColumn("first", F.col("first") & F.col("doc_id").isNotNull())
+    if n:
+        met = docs.join(shared, same, "left_semi").select("doc_id", F.explode(tokens).alias("w"))
+        out = out.unionByName(with_norms(doc_words(met)))
+    return out
+
+
+def with_norms(words: DataFrame) -> DataFrame:
+    """Adds norm and first, as `document_words` has them, to (doc_id, w, tf) that lack them."""
+    if "norm" in words.columns and "first" in words.columns:
+        return words
+    own = Window.partitionBy("doc_id")
+    norm = F.sum(F.col("tf").cast("double") * F.col("tf")).over(own)
+    first = (F.col("w") == F.min("w").over(own)) & F.col("doc_id").isNotNull()
+    return words.withColumns({"norm": norm, "first": first})
+
+
 def normalized(words: DataFrame) -> DataFrame:
     """Adds ntf: tf by the Euclidean norm of the document's counts."""
-    norm = F.sum(F.col("tf").cast("double") * F.col("tf")).over(Window.partitionBy("doc_id"))
-    return words.withColumn("ntf", F.sqrt(F.col("tf").cast("double") * F.col("tf") / norm))
+    tf = F.col("tf").cast("double")
+    return with_norms(words).withColumn("ntf", F.sqrt(tf * F.col("tf") / F.col("norm"))).drop("norm", "first")
 
 
 def lexicon(words: DataFrame) -> DataFrame:
@@ -93,8 +128,9 @@ def lexicon(words: DataFrame) -> DataFrame:
 
 
 def with_idf(lex: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds idf = ln(N / df); N is one row."""
-    n = words.agg(F.count_distinct("doc_id").cast("double").alias("n"))
+    """Adds idf = ln(N / df); N is one row. Where first words are marked, N is their number."""
+    n = F.count_if("first") if "first" in words.columns else F.count_distinct("doc_id")
+    n = words.agg(n.cast("double").alias("n"))
     return lex.crossJoin(F.broadcast(n)).withColumn("idf", F.ln(F.col("n") / F.col("df"))).drop("n")
 
 

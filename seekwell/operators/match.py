@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seekwell.functions.text import case_variants
 from seekwell.operators import index
 from seekwell.operators.ranking import top
+from seekwell.session import materialize
 
 
 def known_words(spark, words: list[str], lex: DataFrame) -> DataFrame:
@@ -22,14 +23,13 @@ def matches(words: DataFrame, query: list[str], limit: int | None = 100) -> Data
     order, without a limit.
 
     Instead of a join per word, postings are filtered to the words and counted per document. `words` is (doc_id, w, tf)
-    of the collection; norms and document frequencies come from all of it.
+    of the collection, and norm and first if they are known; norms and document frequencies come from all of it, in one
+    pass that keeps the postings of the words and one row per document.
     """
     asked = sorted({w.lower() for w in query})
-    norms = words.groupBy("doc_id").agg(F.sum(F.col("tf").cast("double") * F.col("tf")).alias("norm"))
-    few = words.where(F.col("w").isin(asked))
-    lex = index.with_idf(index.lexicon(few), norms)
-    scored = few.join(F.broadcast(lex), "w").join(norms, "doc_id")  # lex has a row per word of the query
-    ntf = F.sqrt(F.col("tf").cast("double") * F.col("tf") / F.col("norm"))
-    found = scored.groupBy("doc_id").agg(F.round(F.sum(ntf * F.col("idf")), 8).alias("score"), F.count_distinct("w").alias("n"))
+    kept = materialize(index.with_norms(words).where(F.col("w").isin(asked) | F.col("first")))
+    few = index.normalized(kept.where(F.col("w").isin(asked)))
+    scored = few.join(F.broadcast(index.with_idf(index.lexicon(few), kept)), "w")  # a row per word of the query
+    found = scored.groupBy("doc_id").agg(F.round(F.sum(F.col("ntf") * F.col("idf")), 8).alias("score"), F.count_distinct("w").alias("n"))
     found = found.where(F.col("n") == len(asked)).drop("n")
     return found if limit is None else top(found, limit, F.desc("score"), F.asc("doc_id"))

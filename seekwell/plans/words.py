@@ -19,8 +19,8 @@ TFIDF = NTF + ", " + LEX
 
 
 def english_words(spark, d):
-    """(doc_id, w, tf) of the English documents."""
-    return index.doc_words(index.document_tokens(table(spark, d, "documents").where("lang = 'en'")))
+    """(doc_id, w, tf, norm, first) of the English documents."""
+    return index.document_words(table(spark, d, "documents").where("lang = 'en'"))
 
 
 def english_index(spark, d):
@@ -42,7 +42,7 @@ def doc_tokens(spark, d):
 
 @query(f"WITH {DW} SELECT doc_id, w, tf FROM dw")
 def doc_word_tf(spark, d):
-    return english_words(spark, d)
+    return english_words(spark, d).select("doc_id", "w", "tf")
 
 
 @query(f"WITH {DW} SELECT w, count(*) AS df FROM dw GROUP BY w")
