@@ -3,6 +3,7 @@
 from collections import Counter
 
 from seekwell.operators import index
+from seekwell.plans import catalogue
 
 TEXTS = [(1, "b a b"), (2, "A a c"), (2, "c d"), (None, "x a"), (None, "x"), (3, None), (4, "..."), (5, "a"), (6, " ".join(f"w{i % 700}" for i in range(20_000)))]
 
@@ -34,3 +35,7 @@ def test_words_are_counted_inside_documents(spark):
 def test_words_of_single_documents_are_not_shuffled(spark):
     words = index.document_words(documents(spark).where("doc_id <> 2"))
     assert "Exchange hashpartitioning" not in plan_of(words) and "Exchange" not in plan_of(index.normalized(words)).replace("Exchange RoundRobin", "")
+
+
+def test_norms_come_with_the_words(spark, sf_dir):
+    assert "Exchange" not in plan_of(catalogue.QUERIES["ntf_l2"](spark, sf_dir))
