@@ -1,8 +1,9 @@
 """Steps of the index that must not grow faster than the documents, and documents that share an id."""
 
+import math
 from collections import Counter
 
-from seekwell.operators import index
+from seekwell.operators import index, match
 from seekwell.plans import catalogue
 
 TEXTS = [(1, "b a b"), (2, "A a c"), (2, "c d"), (None, "x a"), (None, "x"), (3, None), (4, "..."), (5, "a"), (6, " ".join(f"w{i % 700}" for i in range(20_000)))]
@@ -39,3 +40,16 @@ def test_words_of_single_documents_are_not_shuffled(spark):
 
 def test_norms_come_with_the_words(spark, sf_dir):
     assert "Exchange" not in plan_of(catalogue.QUERIES["ntf_l2"](spark, sf_dir))
+
+
+def test_search_reads_the_words_once(spark):
+    words = index.document_words(documents(spark))
+    got = {r.doc_id: r.score for r in match.matches(words, ["a", "C"], None).collect()}
+    c = counts()[2]
+    n, norm = 4, math.sqrt(sum(x * x for x in c.values()))  # documents with an id and a word
+    df = {w: sum(w in x for x in counts().values()) for w in "ac"}
+    assert got.keys() == {2} and abs(got[2] - sum(c[w] / norm * math.log(n / df[w]) for w in "ac")) < 2e-8
+    found = match.matches(words, ["a"], None)
+    assert "Generate" not in plan_of(found)
+    plain = words.select("doc_id", "w", "tf")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in match.matches(plain, ["a"], None).collect()}
