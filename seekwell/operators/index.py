@@ -134,6 +134,31 @@ def with_idf(lex: DataFrame, words: DataFrame) -> DataFrame:
     return lex.crossJoin(F.broadcast(n)).withColumn("idf", F.ln(F.col("n") / F.col("df"))).drop("n")
 
 
+def by_frequency(lex: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The most frequent words of a stored lexicon, at most BROADCAST_ROWS of them, and the rest, whose df has a bound."""
+    level = F.length(F.bin("df"))  # df is 2 to the power of level - 1 or more
+    least, taken = 1 << 62, 0
+    for r in sorted(lex.groupBy(level.alias("level")).count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > BROADCAST_ROWS:
+            break
+        least = 1 << (r.level - 1)
+    return lex.where(F.col("df") >= least), lex.where(F.col("df") < least)
+
+
+def with_rare(words: DataFrame, frequent: DataFrame, rare: DataFrame) -> DataFrame:
+    """The postings of rare words with what the lexicon says of them: only these are shuffled."""
+    return words.join(F.broadcast(frequent.select("w")), "w", "left_anti").join(rare, "w")
+
+
+def with_lexicon(words: DataFrame, lex: DataFrame) -> DataFrame:
+    """Postings joined with a stored lexicon. Frequent words, most of the postings, meet it by broadcast; a frequent word is
+    therefore never in one task."""
+    frequent, rare = by_frequency(lex)
+    often = words.join(F.broadcast(frequent), "w")
+    return often if rare.isEmpty() else often.unionByName(with_rare(words, frequent, rare))
+
+
 def tfidf(words: DataFrame) -> DataFrame:
     """(doc_id, w, tf, df, ntf, idf)."""
     return normalized(words).join(with_idf(lexicon(words), words), "w")
