@@ -159,9 +159,15 @@ def with_lexicon(words: DataFrame, lex: DataFrame) -> DataFrame:
     return often if rare.isEmpty() else often.unionByName(with_rare(words, frequent, rare))
 
 
+def counted(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with norms and their lexicon (w, df, idf), both written once and read from there."""
+    stored = materialize(with_norms(words))
+    return stored, materialize(with_idf(lexicon(stored), stored))
+
+
 def tfidf(words: DataFrame) -> DataFrame:
-    """(doc_id, w, tf, df, ntf, idf)."""
-    return normalized(words).join(with_idf(lexicon(words), words), "w")
+    """(w, doc_id, tf, ntf, df, idf)."""
+    return normalized(with_lexicon(*counted(words))).select("w", "doc_id", "tf", "ntf", "df", "idf")
 
 
 def merged(*runs: DataFrame) -> DataFrame:
