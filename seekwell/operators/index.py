@@ -9,10 +9,13 @@ from seekwell.functions import html as H
 from seekwell.functions import text as X
 from seekwell.functions import url as U
 from seekwell.functions.barrier import once
+from seekwell.operators.ranking import first_per
 from seekwell.session import materialize
 
 #: Rows that a broadcast table of ids or words holds at most.
 BROADCAST_ROWS = 200_000
+#: Parts of the documents whose best rows bound what a word's best documents can be; for more documents than parts, none is left out.
+SLOTS = 8
 
 
 def heading_lines(pages: DataFrame) -> DataFrame:
@@ -170,6 +173,26 @@ def tfidf(words: DataFrame) -> DataFrame:
     return normalized(with_lexicon(*counted(words))).select("w", "doc_id", "tf", "ntf", "df", "idf")
 
 
+def champions(words: DataFrame, n: int = 3) -> DataFrame:
+    """(w, doc_id, weight): the n best documents of every word by tf-idf of 8 decimals, then by id, nulls last.
+
+    Rows of frequent words that can't be among the n are left out before anything is sorted: documents are dealt into
+    SLOTS, and of the best row of each slot the nth best bounds the nth best of all. Rows are compared by one number, in
+    which weight and id both stand, so equal weights don't pile up."""
+    stored, lex = counted(words)
+    frequent, rare = by_frequency(lex)
+    weigh = lambda rows, *more: normalized(rows).select("w", "doc_id", F.round(F.col("ntf") * F.col("idf"), 8).alias("weight"), *more)
+    units = F.round(F.col("weight") * 10**8).cast("decimal(12,0)")
+    below = F.coalesce(F.lit(2**63 - 1).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)"), F.lit(-1).cast("decimal(20,0)"))
+    place = (units * F.lit(str(2**64)).cast("decimal(20,0)") + below).cast("decimal(38,0)")
+    often = weigh(stored.join(F.broadcast(frequent), "w"), "idf").select("w", "idf", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"), place.alias("place"))
+    best = [F.max(F.when(F.col("slot") == i, F.col("place"))) for i in range(SLOTS)]
+    bars = materialize(often.groupBy("w", "idf").agg(F.get(F.sort_array(F.array(*best), asc=False), F.lit(n - 1)).alias("bar")))
+    kept = weigh(stored.join(F.broadcast(bars), "w"), "bar").where(F.col("bar").isNull() | (place >= F.col("bar"))).drop("bar")
+    rows = kept if rare.isEmpty() else kept.unionByName(weigh(with_rare(stored, frequent, rare)))
+    return first_per(rows, ["w"], [F.desc("weight"), F.asc_nulls_last("doc_id")], n)
+
+
 def merged(*runs: DataFrame) -> DataFrame:
     """Counts of several runs over different lines of the same documents, added up; df is then counted afresh."""
     out = runs[0]

@@ -55,8 +55,4 @@ def shard_hits(spark, d):
  QUALIFY row_number() OVER (PARTITION BY w ORDER BY weight DESC, doc_id) <= 3""")
 def best_documents_per_word(spark, d):
     """The three best documents of every word: a champion list."""
-    from seekwell.operators.ranking import first_per
-
-    rows = index.tfidf(english_words(spark, d))
-    weighted = rows.select("w", "doc_id", F.round(F.col("ntf") * F.col("idf"), 8).alias("weight"))
-    return first_per(weighted, ["w"], [F.desc("weight"), F.asc("doc_id")], 3)
+    return index.champions(english_words(spark, d), 3)
