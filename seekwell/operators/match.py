@@ -15,7 +15,7 @@ def known_words(spark, words: list[str], lex: DataFrame) -> DataFrame:
     """The query's words of which the lexicon has some case variant; others are dropped from the query."""
     asked = spark.createDataFrame([(w,) for w in words], "word string")
     variants = asked.select("word", F.explode(case_variants(F.col("word"))).alias("w"))
-    return variants.join(lex, "w", "left_semi").select("word").distinct()
+    return lex.join(F.broadcast(variants), "w").select("word").distinct()  # a few rows per word asked for
 
 
 def matches(words: DataFrame, query: list[str], limit: int | None = 100) -> DataFrame:
