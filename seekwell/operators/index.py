@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekwell.functions import html as H
 from seekwell.functions import text as X
 from seekwell.functions import url as U
 from seekwell.functions.barrier import once
+from seekwell.operators.counting import word_counts
 from seekwell.operators.ranking import first_per
 from seekwell.session import materialize
 
@@ -88,13 +89,12 @@ def doc_words(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
 
 
-def document_words(docs: DataFrame, words: Column | None = None) -> DataFrame:
+def document_words(docs: DataFrame) -> DataFrame:
     """(doc_id, w, tf, norm, first): how often each word of a document occurs, the sum of its squared counts, and whether
     it is the document's least word (of documents with an id).
 
     Counted inside the rows, without a shuffle; only rows that share their id meet by words. Which ids these are is found
     at once, from the ids alone."""
-    tokens = X.tokens(F.lower("text"), X.WORD) if words is None else words
     shared = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
     n = shared.count()
     alone = docs
@@ -102,9 +102,9 @@ def document_words(docs: DataFrame, words: Column | None = None) -> DataFrame:
         shared = materialize(shared)
         shared, same = F.broadcast(shared) if n <= BROADCAST_ROWS else shared, F.col("doc_id").eqNullSafe(F.col("__id"))
         alone = docs.join(shared, same, "left_anti")
-    out = alone.select("doc_id", F.inline(X.word_counts(tokens))).withColumn("first", F.col("first") & F.col("doc_id").isNotNull())
+    out = word_counts(alone)
     if n:
-        met = docs.join(shared, same, "left_semi").select("doc_id", F.explode(tokens).alias("w"))
+        met = docs.join(shared, same, "left_semi").select("doc_id", F.explode(X.tokens(F.lower("text"), X.WORD)).alias("w"))
         out = out.unionByName(with_norms(doc_words(met)))
     return out
 
