@@ -63,6 +63,12 @@ def java_hash(text: Column) -> Column:
     return F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned)
 
 
+def jvm_hash(text: Column) -> Column:
+    """`java_hash` as Java computes it, as an int: for columns of many words. The optimiser takes it for no function of its
+    input, so it can't stand in joins or be pushed below them."""
+    return F.when(text.isNotNull(), F.reflect(F.lit("java.util.Objects"), F.lit("hashCode"), text).cast("int"))
+
+
 def shard_of(word: Column, shards: int) -> Column:
     """The shard of a word's hits."""
     return F.pmod(java_hash(word), F.lit(shards)).cast("int")
